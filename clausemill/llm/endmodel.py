@@ -26,8 +26,8 @@ _DOT = re.compile(r"\.(?=\s|\"|\\n|$)")
 _GAP = re.compile(r"\s+\[")
 _CITE_TAIL = re.compile(r"(?:\s*\[C\d+\])+\s*$")
 _OPEN_CITE = re.compile(r"\[(?:C\d*)?$")
-_WRAP = re.compile(r"^\s*(?:```(?:json)?\s*)?\{\s*\"answer\"\s*:\s*(?:\"|null)", re.I)
-_WRAP_END = re.compile(r"(?<!\\)\"\s*(?:,\s*\"\w+\"\s*:|\}\s*(?:```)?\s*$|,?\s*$)")
+_WRAP = re.compile(r"^\s*(?:```(?:json)?\s*)?\{[\s.…]*\"answer\"\s*:\s*(?:\"|null)", re.I)
+_WRAP_END = re.compile(r"(?<!\\)\"\s*(?:,\s*\"|\}\s*(?:```)?\s*$|,?\s*$)")
 _CUT_MARK = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\u[0-9a-fA-F]{4}|(?:…|\.\.\.)*[\[［【(（](?:截断|未完|truncated|cut)[\]］】)）]?|\s*<(?:eof|eos|end|cut|trunc\w*)>?)$", re.I)
 _NUMBER_DOT = re.compile(r"(?:第|[Cc]lause |[Ss]ection |[Ii]tem |[Aa]rticle )\d+(?:\.\d+)*\.$")
 _CLOSERS = "”’」』）)】》\"'*"
