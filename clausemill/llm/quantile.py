@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["g0", "g1", "g2", "metric"]
-_TUPLES = "g0 string, g1 string, g2 date, metric string, part int, v double, g bigint, d bigint"
+_TUPLES = "g0 string, g1 string, g2 date, metric string, part bigint, v double, g bigint, d bigint"
 
 
 def compress(v: np.ndarray, g: np.ndarray, d: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ def _groups(pdf: pd.DataFrame) -> Iterator[tuple[int, int]]:
     yield from zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
 
 
-def _local(eps: float, fan: int, block: int = 1 << 18):
+def _local(eps: float, block: int = 1 << 18):
     """Values -> tuples. A task holds one block of values; each block is summarized as it comes."""
     import pyspark
 
@@ -118,7 +118,7 @@ def _local(eps: float, fan: int, block: int = 1 << 18):
                     gs.append(np.diff(np.append(-1, i)))
             at_ = np.concatenate(at)
             out = pdf.loc[at_, KEYS]
-            return out.assign(part=np.int32((part * 1009 + blocks) % 2**31), v=values[at_], g=np.concatenate(gs), d=np.int64(0))
+            return out.assign(part=np.int64(part * 1_000_003 + blocks), v=values[at_], g=np.concatenate(gs), d=np.int64(0))
 
         for pdf in batches:
             held.append(pdf)
@@ -167,7 +167,7 @@ def _as_tuples(out) -> pd.DataFrame:
     n = [len(s[0]) for _, s in out]
     cols = {c: np.repeat(np.array([k[i] for k, _ in out], dtype=object), n) for i, c in enumerate(KEYS)}
     cat = [np.concatenate([s[i] for _, s in out]) for i in range(3)]
-    return pd.DataFrame({**cols, "part": np.int32(0), "v": cat[0], "g": cat[1], "d": cat[2]})
+    return pd.DataFrame({**cols, "part": np.int64(0), "v": cat[0], "g": cat[1], "d": cat[2]})
 
 
 def _as_percentiles(percentiles: tuple[float, ...]):
@@ -189,12 +189,12 @@ def summaries(values: DataFrame, eps: float = 0.005, fan: int = 16) -> DataFrame
     and compresses with another quarter; ``percentiles`` does the last merge. A hot key is spread over tasks until only
     O(fan / eps) tuples of it are left. The rows may be kept and merged with those of other days.
     """
-    local = values.where("value is not null").mapInPandas(_local(eps / 4, fan), _TUPLES)
+    local = values.where("value is not null").mapInPandas(_local(eps / 4), _TUPLES)
     salted = local.repartition(*KEYS, F.col("part") % fan).sortWithinPartitions(*KEYS, F.col("part") % fan, "part", "v")
     # a key's salts may meet in one task: the salt takes part in the key while merging
     keyed = salted.withColumn("metric", F.concat_ws("\x1f", "metric", (F.col("part") % fan).cast("string")))
     merged = keyed.mapInPandas(_merge_sorted(eps / 4, _as_tuples), _TUPLES)
-    return merged.select("g0", "g1", "g2", F.substring_index("metric", "\x1f", 1).alias("metric"), F.substring_index("metric", "\x1f", -1).cast("int").alias("part"), "v", "g", "d")
+    return merged.select("g0", "g1", "g2", F.substring_index("metric", "\x1f", 1).alias("metric"), F.substring_index("metric", "\x1f", -1).cast("bigint").alias("part"), "v", "g", "d")
 
 
 def percentiles(summary: DataFrame, at: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:

@@ -84,7 +84,7 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def p6_model_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per model and measure, from the summaries of its types and days."""
     s = quantile.summaries(quantile.readings(table(spark, d, "gen_v3_p2_blind")))
-    one = s.withColumn("part", F.xxhash64("g1", "g2", "part").cast("int")).withColumn("g1", F.lit("all")).withColumn("g2", F.lit(None).cast("date"))
+    one = s.withColumn("part", F.xxhash64("g1", "g2", "part")).withColumn("g1", F.lit("all")).withColumn("g2", F.lit(None).cast("date"))
     return _named(quantile.percentiles(one)).drop("type", "day")
 
 
