@@ -73,7 +73,7 @@ def signed(reps: DataFrame, how: Banding) -> DataFrame:
     return reps.mapInPandas(run, "rid bigint, toks array<bigint>, bands array<bigint>, s0 bigint, s1 bigint")
 
 
-def _agree(a: str, b: str) -> Column:
+def agreeing_bits(a: str, b: str) -> Column:
     """Agreeing bits of two 128-bit sketches."""
     return F.lit(128) - F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) - F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
 
@@ -81,7 +81,7 @@ def _agree(a: str, b: str) -> Column:
 def _pairs(x: DataFrame, y: DataFrame, how: Banding, extra: Column) -> DataFrame:
     return (
         x.alias("x")
-        .join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & extra & (_agree("x", "y") >= how.sketch_bits))
+        .join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & extra & (agreeing_bits("x", "y") >= how.sketch_bits))
         .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
     )
 
