@@ -306,7 +306,7 @@ def wrapped_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 WRAPPED = f"""with {RUNS}, k as (select id, regexp_extract(answer, '([{{](?s).*[}}])', 1) as t from r where contains(answer, '"answer"')), v as (select id, case when t <> '' and json_valid(t) then cast(t as json) end as v from k)
-select id, v is not null as parsed, coalesce(length(json_extract_string(v, '$.answer')), 0) as answer_chars, coalesce(least(4, len(json_extract_string(v, '$.citations[*]'))), 0) as citations from v"""
+select id, v is not null as parsed, coalesce(length(json_extract_string(v, '$.answer')), 0) as answer_chars, case when v is null then 0 else least(4, len(json_extract_string(v, '$.citations[*]'))) end as citations from v"""
 
 
 def tool_call_dedup(spark: SparkSession, d: str) -> DataFrame:
