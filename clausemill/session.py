@@ -23,3 +23,13 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/clausemill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` by hash of ``key`` over a fixed number of partitions, before work that is heavy for its bytes.
+
+    AQE sizes partitions by bytes and would leave a few tasks to do all of it; a number that is asked for is kept.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *key)
