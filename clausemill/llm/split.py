@@ -23,38 +23,45 @@ def total_chars(lines: Column) -> Column:
 
 def cut_pattern(limit: Column) -> Column:
     """Alternatives in order of boundary strength, each up to ``limit`` characters and at least half of it, then any characters."""
-    half = F.greatest(F.lit(1), F.floor(limit / 2)).cast("string")
-    top = limit.cast("string")
-    alternatives = [F.concat(F.lit("[\\s\\S]{"), half, F.lit(","), top, F.lit("}(?<=["), F.lit(marks), F.lit("])")) for marks in (STRONG, MIDDLE, WEAK)]
-    return F.concat(F.lit("("), F.concat_ws("|", *alternatives, F.concat(F.lit("[\\s\\S]{1,"), top, F.lit("}"))), F.lit(")"))
+    half = F.greatest(F.lit(0), F.floor(limit / 2) - 1).cast("string")
+    top = (limit - 1).cast("string")
+    alternatives = [F.concat(F.lit(".{"), half, F.lit(","), top, F.lit(f"}}[{marks}]")) for marks in (STRONG, MIDDLE, WEAK)]
+    return F.concat(F.lit("(?s)("), F.concat_ws("|", *alternatives, F.concat(F.lit(".{1,"), limit.cast("string"), F.lit("}"))), F.lit(")"))
 
 
-def pieces(text: Column, max_chars: Column, overlap: Column) -> Column:
-    """Array of (piece, start, lead, body): piece = lead + body has at most max_chars characters, the bodies together are the text.
+def lap_of(max_chars: Column, overlap: Column) -> Column:
+    """Overlap that is used: less than half the limit, so that every piece goes on."""
+    return F.least(F.greatest(overlap, F.lit(0)), F.floor((max_chars - 1) / 2).cast("int"))
 
-    lead is the end of what stands before: its last ``overlap`` characters, or fewer to start behind a boundary. An
-    overlap of half the limit or more is cut to less than half, so that every piece goes on.
+
+def offsets(bodies: Column) -> Column:
+    """Start of each body: running sums of their lengths."""
+    return F.aggregate(bodies, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(b))))
+
+
+def lead_of(back: Column, start: Column, lap: Column) -> Column:
+    """What a piece repeats of the characters ``back`` before it: from behind their first sentence end on, else clause mark, else all."""
+
+    def behind(marks: str) -> Column:
+        return F.when(F.regexp_like(back, F.lit(f"[{marks}][\\s\\S]")), F.regexp_replace(back, f"^[^{marks}]*[{marks}]+(?=[\\s\\S])", ""))
+
+    return F.when((start <= lap) | (lap == 0), back).otherwise(F.coalesce(behind(STRONG), behind(MIDDLE), back))
+
+
+def with_pieces(items: DataFrame) -> DataFrame:
+    """Items (..., body_text, max_chars, overlap_chars) -> one row per piece with piece_no, start, lead, body.
+
+    piece = lead + body has at most max_chars characters, and the bodies together are the text. Bodies come from one
+    pass of the regex, their offsets from one fold; each step is a column of its own, so none is worked out per piece.
     """
-    lap = F.least(F.greatest(overlap, F.lit(0)), F.floor((max_chars - 1) / 2).cast("int"))
-    bodies = F.regexp_extract_all(text, cut_pattern(max_chars - lap), F.lit(1))
-    # prefix lengths give the offsets for looking back
-    offsets = F.aggregate(bodies, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(b))))
-
-    def one(body: Column, i: Column) -> Column:
-        start = F.element_at(offsets, i + 1)
-        back = F.substring(text, F.greatest(start - lap, F.lit(0)) + 1, F.least(lap, start))
-        lead = F.when(
-            (start <= lap) | (lap == 0), back
-        ).otherwise(
-            F.coalesce(
-                F.when(F.regexp_like(back, F.lit(f"[{STRONG}][\\s\\S]")), F.regexp_replace(back, f"^[^{STRONG}]*[{STRONG}]+(?=[\\s\\S])", "")),
-                F.when(F.regexp_like(back, F.lit(f"[{MIDDLE}][\\s\\S]")), F.regexp_replace(back, f"^[^{MIDDLE}]*[{MIDDLE}]+(?=[\\s\\S])", "")),
-                back,
-            )
-        )
-        return F.struct(F.concat(lead, body).alias("piece"), start.alias("start"), lead.alias("lead"), body.alias("body"))
-
-    return F.transform(bodies, one)
+    keep = [c for c in items.columns if c not in ("body_text", "max_chars", "overlap_chars")]
+    lap = lap_of(F.col("max_chars"), F.col("overlap_chars"))
+    a = items.select(*keep, "body_text", lap.alias("lap"), F.regexp_extract_all("body_text", cut_pattern(F.col("max_chars") - lap), F.lit(1)).alias("bodies"))
+    b = a.select(*keep, "body_text", "lap", "bodies", F.slice(offsets(F.col("bodies")), F.lit(1), F.size("bodies")).alias("starts"))
+    back = lambda o: F.substring(F.col("body_text"), F.greatest(o - F.col("lap"), F.lit(0)) + 1, F.least(F.col("lap"), o))
+    c = b.select(*keep, "lap", F.zip_with("bodies", "starts", lambda t, o: F.struct(t.alias("body"), o.alias("start"), back(o).alias("back"))).alias("ps"))
+    d = c.select(*keep, "lap", F.posexplode("ps").alias("piece_no", "p"))
+    return d.select(*keep, "piece_no", F.col("p.start").alias("start"), lead_of(F.col("p.back"), F.col("p.start"), F.col("lap")).alias("lead"), F.col("p.body").alias("body"))
 
 
 def split_oversized(units: DataFrame, limits: DataFrame) -> DataFrame:
@@ -73,8 +80,7 @@ def split_oversized(units: DataFrame, limits: DataFrame) -> DataFrame:
         .select("unit_id", F.col("v.section").alias("section"), F.col("v.lines").alias("lines"))
     )
     lim = limits.where("section is not null and max_chars is not null").groupBy("section").agg(F.min("max_chars").alias("max_chars"), F.max(F.coalesce("overlap_chars", F.lit(0))).alias("overlap_chars"))
-    big = one.join(lim, "section").where(total_chars(F.col("lines")) > F.col("max_chars")).withColumn("body_text", joined(F.col("lines")))
-    cut = big.select("unit_id", F.posexplode(pieces(F.col("body_text"), F.greatest("max_chars", F.lit(2)), F.col("overlap_chars"))).alias("piece_no", "p"))
-    return cut.select(
-        "unit_id", "piece_no", F.col("p.start").alias("start"), F.char_length("p.lead").alias("lead_chars"), F.char_length("p.piece").alias("n_chars"), F.col("p.piece").alias("text")
-    )
+    big = one.join(lim, "section").where(total_chars(F.col("lines")) > F.col("max_chars"))
+    items = big.select("unit_id", joined(F.col("lines")).alias("body_text"), F.greatest("max_chars", F.lit(2)).alias("max_chars"), "overlap_chars")
+    cut = with_pieces(items).withColumn("text", F.concat("lead", "body"))
+    return cut.select("unit_id", "piece_no", "start", F.char_length("lead").alias("lead_chars"), F.char_length("text").alias("n_chars"), "text")
