@@ -98,7 +98,7 @@ def bands(sig: np.ndarray, b: int, r: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """(n, 2) int64: one bit each of the first 128 columns. Agreement of similarity s is expected in (1 + s) / 2 of the bits."""
-    bits = (sig[:, :128] & np.uint64(1)).astype(np.uint8)
+def sketch(sig: np.ndarray, words: int = 2) -> np.ndarray:
+    """(n, words) int64: one bit each of the first 64 * words columns. Agreement of similarity s is expected in (1 + s) / 2 of the bits."""
+    bits = (sig[:, : 64 * words] & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64)

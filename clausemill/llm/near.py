@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from . import dart
 from .components import components
 from .textnorm import grams, plain
@@ -70,12 +70,13 @@ def signed(reps: DataFrame, how: Banding) -> DataFrame:
                 )
                 at = to
 
-    return reps.mapInPandas(run, "rid bigint, toks array<bigint>, bands array<bigint>, s0 bigint, s1 bigint")
+    return spread(reps, "rid").mapInPandas(run, "rid bigint, toks array<bigint>, bands array<bigint>, s0 bigint, s1 bigint")
 
 
-def agreeing_bits(a: str, b: str) -> Column:
-    """Agreeing bits of two 128-bit sketches."""
-    return F.lit(128) - F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) - F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
+def agreeing_bits(a: str, b: str, words: int = 2) -> Column:
+    """Agreeing bits of two sketches in columns s0, s1, ..."""
+    apart = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(words)]
+    return F.lit(64 * words) - sum(apart[1:], apart[0])
 
 
 def _pairs(x: DataFrame, y: DataFrame, how: Banding, extra: Column) -> DataFrame:
