@@ -87,72 +87,79 @@ def _terms() -> dict[str, tuple[str, float, int]]:
 
 
 class LexiconTrie:
-    """Trie of the lexicon intersected with Levenshtein automata: the row of the edit table is the automaton's state."""
+    """Trie of the lexicon intersected with Levenshtein automata: the band of the edit table is the automaton's state."""
 
-    def __init__(self, terms: dict[str, tuple[str, float, int]]):
+    def __init__(self, terms: dict[str, tuple[str, float, int]], backwards: bool = False):
         self.root: dict = {}
         for w, (_, _, k) in terms.items():
             node = self.root
-            for c in w:
+            for c in reversed(w) if backwards else w:
                 node = node.setdefault(c, {})
             node[""] = (w, k)
         self.longest = max(map(len, terms))
 
-    def find(self, text: str, start: int, most: int = 1) -> list[tuple[str, int, int]]:
-        """(term, end, edits): terms that read from ``start`` within their edits: substitution, insertion, deletion or swap of neighbours.
+    def find(self, text: str, start: int, exact: int = 0) -> list[tuple[str, int, int]]:
+        """(term, end, edits): terms that read from ``start`` with at most one edit: substitution, insertion, deletion or swap of neighbours.
 
-        Of the row only the diagonal band of ``most`` cells either way is kept: a state is (characters read, edits).
+        The first ``exact`` characters are known to stand as they are written, so the walk begins below them. A state
+        is (characters read, edits); once the edit is spent only the text's own next character is followed.
         """
-        s, far = text[start : start + self.longest + most], most + 1
-        out: list[tuple[str, int, int]] = []
-        todo: list[tuple[dict, int, dict[int, int], dict[int, int], str]] = [(self.root, 0, {j: j for j in range(most + 1)}, {}, "")]
+        s = text[start : start + self.longest + 1]
+        node, out = self.root, []
+        for c in s[:exact]:
+            node = node.get(c)
+            if node is None:
+                return out
+        row = {j: abs(j - exact) for j in range(max(0, exact - 1), min(len(s), exact + 1) + 1)}
+        before = {j: abs(j - exact + 1) for j in range(max(0, exact - 2), exact + 1)} if exact else {}
+        todo = [(node, exact, row, before, s[exact - 1] if exact else "")]
         while todo:
             node, depth, row, before, last = todo.pop()
+            if 0 not in row.values() and 0 not in before.values():
+                for j in row:
+                    n, i = node, j
+                    while n is not None:
+                        if "" in n and n[""][1]:
+                            out.append((n[""][0], start + i, 1))
+                        n = n.get(s[i]) if i < len(s) else None
+                        i += 1
+                continue
             if "" in node:
                 w, k = node[""]
                 end = min(row, key=lambda j: (row[j], abs(j - depth)))
                 if row[end] <= k:
                     out.append((w, start + end, row[end]))
-            exact = len(row) == 1 and min(row.values()) == most
             for c, child in node.items():
-                if not c:
-                    continue
-                if exact:  # no edit is left: only the next character goes on
-                    j = next(iter(row))
-                    if j < len(s) and s[j] == c:
-                        todo.append((child, depth + 1, {j + 1: most}, {}, c))
-                        continue
-                    if not before:
-                        continue
-                new: dict[int, int] = {}
-                for j in range(max(0, depth + 1 - most), min(len(s), depth + 1 + most) + 1):
-                    v = row.get(j, far) + 1
-                    if j:
-                        v = min(v, new.get(j - 1, far) + 1, row.get(j - 1, far) + (s[j - 1] != c))
-                        if j > 1 and before and s[j - 1] == last and s[j - 2] == c:
-                            v = min(v, before.get(j - 2, far) + 1)
-                    if v <= most:
-                        new[j] = v
-                if new:
-                    todo.append((child, depth + 1, new, row, c))
+                if c:
+                    new: dict[int, int] = {}
+                    for j in range(max(0, depth), min(len(s), depth + 2) + 1):
+                        v = row.get(j, 2) + 1
+                        if j:
+                            v = min(v, new.get(j - 1, 2) + 1, row.get(j - 1, 2) + (s[j - 1] != c))
+                            if j > 1 and before and s[j - 1] == last and s[j - 2] == c:
+                                v = min(v, before.get(j - 2, 2) + 1)
+                        if v <= 1:
+                            new[j] = v
+                    if new:
+                        todo.append((child, depth + 1, new, row, c))
         return out
 
 
 @lru_cache(1)
-def _matcher() -> tuple[ahocorasick.Automaton, LexiconTrie, dict]:
-    """Finds where a term may stand: short terms whole; of those with an edit one half must be there as it is written."""
+def _matcher() -> tuple[ahocorasick.Automaton, LexiconTrie, LexiconTrie, dict]:
+    """Finds where a term may stand: short terms whole; of those with an edit one half must be there as it is written, and the trie is walked from that half on, forwards or backwards."""
     terms = _terms()
     a = ahocorasick.Automaton()
-    pieces: dict[str, set[tuple[str, int]]] = {}
+    pieces: dict[str, set[tuple[str, str]]] = {}
     for w, (_, _, k) in terms.items():
         cut = len(w) // 2
-        for piece, at in ((w[:cut], 0), (w[cut:], cut)) if k else ((w, 0),):
-            pieces.setdefault(piece, set()).add((w, at))
+        for piece, side in ((w[:cut], "head"), (w[cut:], "tail")) if k else ((w, ""),):
+            pieces.setdefault(piece, set()).add((side, "" if k else w))
     for p, v in pieces.items():
         a.add_word(p, (len(p), sorted(v)))
     a.make_automaton()
     kinds = {w: kind for kind, ws in WORDS.items() for w in ws.split()}
-    return a, LexiconTrie(terms), kinds
+    return a, LexiconTrie(terms), LexiconTrie(terms, True), kinds
 
 
 class _Fold(dict):
@@ -193,23 +200,26 @@ def findings(text: str | None) -> list[tuple[str, str, float]]:
     """(category, term, weight) of each occurrence after its context was weighed."""
     if not text:
         return []
-    automaton, trie, kinds = _matcher()
+    automaton, trie, backwards, kinds = _matcher()
     terms = _terms()
     fold = folded(text)
     s = condensed(fold)
     found: dict[tuple[int, str], tuple[str, str, float]] = {}
-    starts: set[int] = set()
+    near: set[tuple[int, int, str, int]] = set()
+    turned = ""
     for end, (n, uses) in automaton.iter(s):
-        for w, at in uses:
-            start = end - n + 1 - at
-            if not terms[w][2]:
+        start = end - n + 1
+        for side, w in uses:
+            if side == "head":
+                near.update((edits, start, w_, stop) for w_, stop, edits in trie.find(s, start, n))
+            elif side == "tail":
+                turned = turned or s[::-1]
+                near.update((edits, len(s) - stop, w_, end + 1) for w_, stop, edits in backwards.find(turned, len(s) - 1 - end, n))
+            else:
                 around = s[max(0, start - 1) : start + len(w) + 1]
                 if w not in _HARMLESS or not _HARMLESS[w].search(around):
                     found[start, w] = (terms[w][0], w, terms[w][1])
-            else:
-                starts.update(x for x in (start - 1, start, start + 1) if x >= 0)
-    near_ = sorted((edits, start, w, end) for start in starts for w, end, edits in trie.find(s, start))
-    for edits, start, w, end in near_:
+    for edits, start, w, end in sorted(near):
         kind, weight, k = terms[w]
         if not k or any((x, w) in found for x in range(start - 2, start + 3)):
             continue
@@ -220,8 +230,8 @@ def findings(text: str | None) -> list[tuple[str, str, float]]:
     quoted = {q.group(0) for q in _QUOTED.finditer(fold)} if found else set()
     out = []
     for (start, w), (kind, term, weight) in found.items():
-        near = s[max(0, start - WINDOW) : start + len(w) + WINDOW // 2]
-        cited = bool(_CITES.search(near)) and any(w in condensed(q) for q in quoted)
+        window = s[max(0, start - WINDOW) : start + len(w) + WINDOW // 2]
+        cited = bool(_CITES.search(window)) and any(w in condensed(q) for q in quoted)
         out.append((kind, term, weight * (0.3 if cited else 1.0)))
     for m in _TOKEN.finditer(_SEP.sub("", fold)):
         if m.group(0) in kinds:
