@@ -1,7 +1,7 @@
 """Language posteriors from character bigrams by naive Bayes.
 
-The classes are trained on one short public text per language (article 1 of the Universal Declaration of
-Human Rights, with a few plain function words); no model file is needed.
+The classes are trained on one short public text per language (from the Universal Declaration of Human
+Rights, with some plain words); no model file is needed.
 """
 
 from __future__ import annotations
@@ -15,19 +15,19 @@ SEEDS = {
     "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。的 了 是 在 不 有 我 他 这 中 大 来 上 为 和 要 可以 按照 应当 合同 保险 给付",
     "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。です ます した から まで について",
     "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. 입니다 합니다 그리고 보험",
-    "en": "all human beings are born free and equal in dignity and rights. they are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. the of to in is that it was for on with as by this which from not have may can be paid within days after before",
-    "fr": "tous les êtres humains naissent libres et égaux en dignité et en droits. ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité. le la les de des du est une pour que dans qui sur avec au aux ce pas il faut peut être jours à compter d'effet en cas",
-    "es": "todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros. el la los las de que y en un una por con para se del no es al lo como más puede días desde plazo solo si contrato",
-    "de": "alle menschen sind frei und gleich an würde und rechten geboren. sie sind mit vernunft und gewissen begabt und sollen einander im geist der brüderlichkeit begegnen. der die das und ist nicht ein eine zu den mit von für auf dem des werden wird tage nach bei muss kann",
-    "pt": "todos os seres humanos nascem livres e iguais em dignidade e em direitos. dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade. o a os as de que não em um uma para com por no na do da são está dias prazo pode",
-    "it": "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. il lo la i gli le di che è un una per con non del della sono può giorni dal",
-    "nl": "alle mensen worden vrij en gelijk in waardigheid en rechten geboren. zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen. de het een van en is niet dat op te met voor zijn dagen kan",
-    "vi": "tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu. của và là không có được cho một các theo từ ngày hồ sơ gồm thời gian chờ",
-    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах. они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. и в не на что с по это как из от до для при только можно дней выплату необходимо представить",
+    "en": "all human beings are born free and equal in dignity and rights. they are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. the of to in is that it was for on with as by this which from not have may can be paid within days after before whereas recognition of the inherent dignity and of the equal and inalienable rights of all members of the human family is the foundation of freedom, justice and peace in the world. everyone has the right to life, liberty and security of person. no one shall be held in slavery. two at least apart between only once more than when such must lie other their them they what there will each does do any where diagnosis treatment hospital doctor person insured company benefit period claim policy premium beneficiary changed in writing clause invoice waiting surrender cancellation refunds",
+    "fr": "tous les êtres humains naissent libres et égaux en dignité et en droits. ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité. le la les de des du est une pour que dans qui sur avec au aux ce pas il faut peut être jours à compter d'effet en cas considérant que la reconnaissance de la dignité inhérente à tous les membres de la famille humaine et de leurs droits égaux et inaliénables constitue le fondement de la liberté, de la justice et de la paix dans le monde. tout individu a droit à la vie, à la liberté et à la sûreté de sa personne. nul ne sera tenu en esclavage. deux au moins entre seulement une fois plus quand doit autre leur ils elle sont être assuré médecin hôpital contrat délai bénéficiaire modifié par écrit clause facture carence rachat résiliation remettre",
+    "es": "todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros. el la los las de que y en un una por con para se del no es al lo como más puede días desde plazo solo si contrato considerando que la libertad, la justicia y la paz en el mundo tienen por base el reconocimiento de la dignidad intrínseca y de los derechos iguales e inalienables de todos los miembros de la familia humana. todo individuo tiene derecho a la vida, a la libertad y a la seguridad de su persona. nadie estará sometido a esclavitud. dos al menos entre solo una vez más cuando debe otro su ellos ser asegurado médico hospital contrato beneficiario cambiarse por escrito cláusula factura informe espera rescate cancela devuelve puede presentar",
+    "de": "alle menschen sind frei und gleich an würde und rechten geboren. sie sind mit vernunft und gewissen begabt und sollen einander im geist der brüderlichkeit begegnen. der die das und ist nicht ein eine zu den mit von für auf dem des werden wird tage nach bei muss kann da die anerkennung der angeborenen würde und der gleichen und unveräußerlichen rechte aller mitglieder der gemeinschaft der menschen die grundlage von freiheit, gerechtigkeit und frieden in der welt bildet. jeder hat das recht auf leben, freiheit und sicherheit der person. niemand darf in sklaverei gehalten werden. zwei mindestens zwischen nur einmal mehr wenn andere ihre sie sein versicherte arzt krankenhaus vertrag begünstigte schriftlich geändert klausel rechnung wartezeit rückkaufswert kündigung",
+    "pt": "todos os seres humanos nascem livres e iguais em dignidade e em direitos. dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade. o a os as de que não em um uma para com por no na do da são está dias prazo pode considerando que o reconhecimento da dignidade inerente a todos os membros da família humana e dos seus direitos iguais e inalienáveis constitui o fundamento da liberdade, da justiça e da paz no mundo. todo indivíduo tem direito à vida, à liberdade e à segurança pessoal. ninguém será mantido em escravatura. dois pelo menos entre apenas uma vez mais quando deve outro seu eles ser segurado médico hospital contrato beneficiário alterado por escrito cláusula fatura carência resgate cancelamento devolve",
+    "it": "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. il lo la i gli le di che è un una per con non del della sono può giorni dal considerato che il riconoscimento della dignità inerente a tutti i membri della famiglia umana e dei loro diritti, uguali ed inalienabili, costituisce il fondamento della libertà, della giustizia e della pace nel mondo. ogni individuo ha diritto alla vita, alla libertà ed alla sicurezza della propria persona. nessun individuo potrà essere tenuto in stato di schiavitù. due almeno tra solo una volta più quando deve altro loro essi essere assicurato medico ospedale contratto beneficiario modificato per iscritto clausola fattura attesa riscatto recesso può presentare",
+    "nl": "alle mensen worden vrij en gelijk in waardigheid en rechten geboren. zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen. de het een van en is niet dat op te met voor zijn dagen kan overwegende dat erkenning van de inherente waardigheid en van de gelijke en onvervreemdbare rechten van alle leden van de mensengemeenschap grondslag is voor de vrijheid, gerechtigheid en vrede in de wereld. een ieder heeft het recht op leven, vrijheid en onschendbaarheid van zijn persoon. niemand zal in slavernij gehouden worden. twee minstens tussen slechts eenmaal meer wanneer moet andere hun zij worden verzekerde arts ziekenhuis begunstigde schriftelijk gewijzigd clausule factuur wachttijd afkoopwaarde opzegging",
+    "vi": "tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu. của và là không có được cho một các theo từ ngày hồ sơ gồm thời gian chờ xét rằng việc thừa nhận phẩm giá vốn có và các quyền bình đẳng và bất khả chuyển nhượng của mọi thành viên trong gia đình nhân loại là nền tảng của tự do, công lý và hoà bình trên thế giới. mọi người đều có quyền sống, tự do và an toàn cá nhân",
+    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах. они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. и в не на что с по это как из от до для при только можно дней выплату необходимо представить принимая во внимание, что признание достоинства, присущего всем членам человеческой семьи, и равных и неотъемлемых прав их является основой свободы, справедливости и всеобщего мира. каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность",
     "ar": "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق. وقد وهبوا عقلاً وضميراً وعليهم أن يعامل بعضهم بعضاً بروح الإخاء. في من على إلى أن هذا التي",
     "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ และ ของ ที่ เป็น",
-    "id": "semua orang dilahirkan merdeka dan mempunyai martabat dan hak-hak yang sama. mereka dikaruniai akal dan hati nurani dan hendaknya bergaul satu sama lain dalam semangat persaudaraan. yang dan di ke dari untuk dengan tidak ini itu adalah hari",
-    "tr": "bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. ve bir bu için ile de da olarak olan değil gün",
+    "id": "semua orang dilahirkan merdeka dan mempunyai martabat dan hak-hak yang sama. mereka dikaruniai akal dan hati nurani dan hendaknya bergaul satu sama lain dalam semangat persaudaraan. yang dan di ke dari untuk dengan tidak ini itu adalah hari bahwa pengakuan atas martabat alamiah dan hak-hak yang sama dan mutlak dari semua anggota keluarga manusia adalah dasar kemerdekaan, keadilan dan perdamaian di dunia. setiap orang berhak atas kehidupan, kebebasan dan keselamatan sebagai individu",
+    "tr": "bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. ve bir bu için ile de da olarak olan değil gün insanlık ailesinin bütün üyelerinde bulunan haysiyetin ve bunların eşit ve devir kabul etmez haklarının tanınması hususunun, hürriyetin, adaletin ve dünya barışının temeli olmasına. yaşamak, hürriyet ve kişi emniyeti her ferdin hakkıdır",
 }
 LANGS = tuple(SEEDS)
 _BITS = 13
@@ -49,13 +49,13 @@ def _script(a: np.ndarray) -> np.ndarray:
 
 
 def _features(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature of each character with the one before it, and its weight; Han bigrams fall back to the script as they are too many to know."""
+    """Feature of each character with the one before it, and its weight; characters of scripts that tell the language fall back to the script, as their bigrams are too many to know."""
     s = _script(a)
     prev, ps = np.concatenate([[32], a[:-1]]), np.concatenate([[0], s[:-1]])
     prev = np.where(ps > 0, prev, 32)
     h = (a * np.uint64(0x9E3779B1) ^ prev.astype(np.uint64) * np.uint64(0x85EBCA77)).astype(np.uint64)
     h = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
-    big = (s == 2) | (s == 4)
+    big = (s >= 2) & (s != 5)
     f = np.where(big, (1 << _BITS) + s, h)
     return np.where(s > 0, f, (1 << _BITS) + 8), np.where(s > 0, np.where((s >= 2) & (s <= 4), CJK_WEIGHT, 1.0), 0.0).astype(np.float32)
 
@@ -101,6 +101,16 @@ def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, weight
 
 
+#: log likelihood per letter by which another language must win over the expected one
+MARGIN = 0.15
+
+
+def differs(expected: np.ndarray, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Is the main language of texts with sums ``s`` clearly not the ``expected`` one?"""
+    own = s[np.arange(len(s)), expected]
+    return (s.max(1) - own) > MARGIN * np.maximum(weight, 1.0)
+
+
 def languages(texts: list[str], least: float = 4.0) -> list[str | None]:
     """Main language of each text; None with fewer than ``least`` letters (a Han character counts as three)."""
     s, w = scores(texts)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import endmodel
-from .language import LANGS, scores
+from .language import LANGS, differs, scores
 
 DEFECTS = ("empty", "copied", "refusal", "other_language", "truncated")
 _CITE = re.compile(r"\s*\[C\d+\]")
@@ -24,7 +24,7 @@ _DECLINE = re.compile(
     r"(?:无法|不能|不便|难以|恕不?|不予|无从|没法|未能|给不了|提供不了)(?:够|就此|对此|为您|代为|确切)?.{0,5}?(?:回答|作答|答复|解答|判断|确定|给出|提供|下结论|结论|定论|确认|说明|答案|意见)"
     r"|不(?:下|作|做|予)(?:任何)?(?:结论|判断|回答|作答|答复|解答|评论)|作不了答|不足以(?:作答|回答|判断|得出)|没有足够|信息不足|证据不够|找不到(?:任何)?依据|没有覆盖|说不知道|我不知道|不清楚，?建议"
     r"|超出(?:了)?(?:我|本|系统).{0,8}范围|帮不上忙|(?:请|建议)(?:您)?(?:咨询|致电|联系|转)(?:人工|客服|服务热线|专业)|请咨询人工|不在检索结果|未检索到|没有相关约定|不提供(?:该|此|这)类"
-    r"|(?:can(?:no|')t|unable|not able|won't|could not|couldn't)\b.{0,25}\b(?:answer|help|advise|provide|say|determine|assist|respond|tell)|(?:falls|is) outside what i can|nothing in the (?:supplied|given|provided)|ask a human agent|i(?:'m| am) sorry|don't have enough",
+    r"|(?:can(?:no|')t|unable|not able|won't|could not|couldn't)\b.{0,25}\b(?:answer|help|advise|provide|say|determine|assist|respond|tell)|(?:falls|is) outside what i can|nothing in the (?:supplied|given|provided)|ask a human agent|i(?:'m| am) sorry|(?:do(?:es)?n't|do(?:es)? not) (?:have|contain|provide|offer) (?:enough|sufficient)|no (?:conclusion|answer) can be (?:drawn|given)|insufficient information",
     re.I,
 )
 # What a declining reply gives as its reason.
@@ -95,7 +95,7 @@ def _find(model: dict[int, np.ndarray]):
             if rest:
                 sq, wq = scores([q for _, q, _ in rest])
                 sa, wa = scores([_CITE.sub("", endmodel.unwrap(a)[0]) for _, _, a in rest])
-                other = (sq.argmax(1) != sa.argmax(1)) & (wq >= 12) & (wa >= 9)
+                other = differs(sq.argmax(1), sa, wa) & (wq >= 12) & (wa >= 9)
                 for (i, _, a), o in zip(rest, other, strict=True):
                     if o:
                         ids.append(i)

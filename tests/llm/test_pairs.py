@@ -25,6 +25,8 @@ def test_defects(spark):
         "o3": ("How long is the waiting period of plan B4?", SENTENCES[0] + "。", "other_language"),
         "t1": (q, SENTENCES[1] + "。等待期为90日，等待期内确", "truncated"), "t2": (q, SENTENCES[1] + "。[C", "truncated"), "t3": (q, SENTENCES[1] + "。投保人可以变更�", "truncated"),
         "n1": (q, SENTENCES[0] + "。", None), "n2": (q, SENTENCES[2] + "[C1]", None), "n3": (q, "90日", None), "n4": (q, f"{q}{SENTENCES[0]}。", None),
+        "n8": ("How long is the waiting period of plan B4?", "Two diagnoses must lie at least 29 days apart.", None), "r4": ("How long is the waiting period?", "The passages do not contain enough information, so no conclusion can be drawn.", "refusal"),
+        "o4": (q, "根据条款，請求には診断書と領収書の提出が必要です。", "other_language"), "o5": (q, "조항 5.3.1에 따라 보험금의 6퍼센트를 지급합니다.", "other_language"),
         "n5": (q, SENTENCES[0] + "，因此无法回溯计算等待期。", None), "n6": (q, "等待期为90日，原文术语为“waiting period”。" + SENTENCES[1] + "。", None), "n7": (None, SENTENCES[1] + "。", None),
     }
     rows = [(k, q_, a) for k, (q_, a, _) in cases.items()] + [("e1", q, None)] + [(None, q, None)] + [(f"x{i}", q, t) for i, t in enumerate(corpus())]
