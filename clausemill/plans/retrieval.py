@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import context, corpus, dense, lexical, metrics, ranking
+from ..operators import context, corpus, dense, lexical, metrics, quantiles, ranking
 from ..session import materialize
 from ..sources.tables import table
 from . import sqltext as S
@@ -366,7 +366,53 @@ j as (select ev.*, owner, coalesce(owner = tenant, false) as ok from ev left joi
 select qid, count(*) as asked, count(case when ok then 1 end) as allowed, count(case when owner is not null and not ok then 1 end) as denied,
 coalesce(array_to_string(list_sort(list(distinct case when not ok then doc_id || ': not found' end) filter (not ok)), ';'), '') as messages from j group by qid"""
 
+_PARTS = "，(?:另外|还有|顺便问|再确认)"
+
+
+def decomposed_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Questions parted into at most four sub-questions, each ranked for itself, the rankings merged item by item, four deep."""
+    q = _questions(spark, d).select("qid", F.posexplode(F.slice(F.filter(F.split("text", _PARTS), lambda t: F.trim(t) != ""), 1, 4)).alias("list", "text"))
+    u = _units(spark, d)
+    post, stats = materialize(lexical.postings(u, "text", "unit_id"), "postings"), lexical.corpus_stats(u)
+    sub = q.select((F.col("qid") * 8 + F.col("list")).alias("qid"), "text")
+    s = lexical.top(lexical.scores(lexical.contributions(sub, post, stats, F.col("idf_lucene"), lexical.term_weights(post, stats))), 4)
+    return ranking.round_robin(s.select(F.expr("qid div 8").alias("qid"), (F.col("qid") % 8).alias("list"), "rank", F.col("id").alias("item")), 4)
+
+
+DECOMPOSED = f"""with q0 as (select cast(substr(id, 2) as bigint) as qid, min(question) as text from golden_blind_v1 where question is not null and cast(substr(id, 2) as bigint) % 20 = 0 group by 1),
+q1 as (select qid, list_filter(regexp_split_to_array(text, '{_PARTS}'), lambda t: trim(t) <> '')[1:4] as ts from q0),
+q as (select qid * 8 + generate_subscripts(ts, 1) - 1 as qid, unnest(ts) as text from q1),
+{S.UNITS},
+{S.INDEX},
+{S.HITS},
+{S.ranked_hits('lucene')},
+l as (select qid // 8 as qid, qid % 8 as list, rank, id as item from r where rank <= 4), f as (select *, row_number() over (partition by qid, item order by rank, list) as n from l)
+select qid, item, row_number() over (partition by qid order by rank, list) as position from f where n = 1"""
+
+
+def top_score_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Per type: the least and the upper median of the best score of a question."""
+    t = lexical.top(_scored(spark, d), 1).join(_questions(spark, d).select("qid", "type"), "qid")
+    r = quantiles.exact_ranks(t, "type", "score")
+    return r.groupBy("type").agg(F.max("n").alias("questions"), F.min("score").alias("least"), quantiles.at_rank("score", F.floor(F.col("n") / 2) + 1).alias("upper_median"))
+
+
+TOP_SCORES = f"""{S.bm25('lucene')}, k as (select q.type, r.score, row_number() over (partition by q.type order by r.score) as i, count(*) over (partition by q.type) as n from r join q on q.qid = r.qid where r.rank = 1)
+select type, max(n) as questions, min(score) as least, max(case when i = n // 2 + 1 then score end) as upper_median from k group by type"""
+
+
+def section_share(spark: SparkSession, d: str) -> DataFrame:
+    """Share of guide pages among the five best units, per question type."""
+    t = lexical.top(_scored(spark, d), 5).join(_units(spark, d).select(F.col("unit_id").alias("id"), "section"), "id").join(_questions(spark, d).select("qid", "type"), "qid")
+    return t.groupBy("type").agg(F.count("*").alias("places"), F.round(F.avg((F.col("section") == "guide").cast("int")), 6).alias("guide_share"))
+
+
+SECTION = f"""{S.bm25('lucene')} select q.type, count(*) as places, round(avg(case when u.section = 'guide' then 1 else 0 end), 6) as guide_share from r join u on u.unit_id = r.id join q on q.qid = r.qid where r.rank <= 5 group by q.type"""
+
 CATALOGUE = {
+    "decomposed_retrieval": (decomposed_retrieval, DECOMPOSED),
+    "top_score_profile": (top_score_profile, TOP_SCORES),
+    "guide_slot_share": (section_share, SECTION),
     "retrieval_metrics": (retrieval_metrics, METRICS),
     "retrieval_metrics_by_type": (retrieval_metrics_by_type, METRICS_BY),
     "question_ranks": (question_ranks, QUESTION_RANKS),

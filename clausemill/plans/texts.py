@@ -157,7 +157,51 @@ def pii_redacted_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.redacted(F.col("text")).alias("text"))
 
 
+def date_extraction(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", X.dates(F.col("text")).alias("x")).where(F.size("x") > 0)
+    return t.select("doc_id", F.size("x").alias("n"), F.array_join("x", ",").alias("dates"))
+
+
+_DAY = "'([0-9]{4})\\s*[-年]\\s*([0-9]{1,2})\\s*[-月]\\s*([0-9]{1,2})'"
+DAYS = f"""with k as (select doc_id, regexp_extract_all(text, {_DAY}, 1) as y, regexp_extract_all(text, {_DAY}, 2) as m, regexp_extract_all(text, {_DAY}, 3) as d from documents where text is not null),
+l as (select doc_id, list_transform(y, lambda v, i: v || '-' || lpad(m[i], 2, '0') || '-' || lpad(d[i], 2, '0')) as x from k),
+u as (select doc_id, list_filter(x, lambda v, i: list_position(x, v) = i) as x from l where len(x) > 0)
+select doc_id, len(x) as n, array_to_string(x, ',') as dates from u"""
+
+
+def amount_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of money per source: how many different ones the documents name, and the largest."""
+    t = table(spark, d, "documents").select("source", F.explode(X.amounts(F.col("text"))).alias("yuan"))
+    return t.groupBy("source").agg(F.count("*").alias("amounts"), F.max("yuan").alias("largest"), F.sum("yuan").alias("total"))
+
+
+_SUM = "'([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+(?:\\.[0-9]+)?)\\s*(万)?元'"
+AMOUNTS = f"""with k as (select doc_id, source, regexp_extract_all(text, {_SUM}, 1) as a, regexp_extract_all(text, {_SUM}, 2) as w from documents where text is not null),
+l as (select distinct doc_id, source, yuan from (select doc_id, source, unnest(list_transform(a, lambda v, i: cast(round_even(cast(replace(v, ',', '') as double) * case when w[i] = '万' then 10000 else 1 end, 0) as bigint))) as yuan from k))
+select source, count(*) as amounts, max(yuan) as largest, cast(sum(yuan) as bigint) as total from l group by source"""
+
+
+def clause_labels(spark: SparkSession, d: str) -> DataFrame:
+    u = corpus.units_once(table(spark, d, "units"))
+    return u.select("unit_id", X.clause_label(F.col("doc_id"), F.col("section"), F.col("part"), F.col("clause_id"), F.col("title")).alias("label"))
+
+
+LABELS = f"""with {S.UNITS} select unit_id, case when section = 'guide' then concat_ws(' ', doc_id, 'guide', nullif(trim(clause_id), '')) else concat_ws(' ', doc_id, nullif(trim(part), ''), nullif(trim(clause_id), ''), nullif(trim(title), '')) end as label from u"""
+
+
+def header_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, lines and characters of each product: the corpus profile."""
+    lines = corpus.page_lines(table(spark, d, "units"))
+    return lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.countDistinct("unit_id").alias("units"), F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"))
+
+
+PAGES = f"with {_PL} select doc_id, count(distinct page) as pages, count(distinct unit_id) as units, count(*) as lines, cast(sum(length(line)) as bigint) as chars from l group by doc_id"
+
 CATALOGUE = {
+    "date_extraction": (date_extraction, DAYS),
+    "amount_extraction": (amount_extraction, AMOUNTS),
+    "clause_labels": (clause_labels, LABELS),
+    "corpus_profile": (header_pages, PAGES),
     "source_registry_profile": (source_registry_profile, PROFILE),
     "line_chunks": (line_chunks, LINES),
     "noise_filtered_chunks": (noise_filtered_chunks, NOISE),
