@@ -159,7 +159,7 @@ def citation_check(spark: SparkSession, d: str) -> DataFrame:
     """Numeric facts of each answer against the blocks it cites, by kind of issue."""
     r = _runs(spark, d, "question", "answer", "context")
     bare = r.withColumn("context", F.transform("context", lambda b: F.struct(b["cid"].alias("cid"), F.transform(b["chunk_ids"], lambda c: F.substring_index(c, "#", 1)).alias("chunk_ids"))))
-    found = grounding.citation_issues(r, grounding.context_blocks(bare, _chunks(spark, d)))
+    found = grounding.citation_issues(r, grounding.context_facts(bare, _chunks(spark, d)))
     return found.groupBy("kind").agg(F.count("*").alias("issues"), F.countDistinct("id").alias("runs"))
 
 
