@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from .bpe import DEFAULT_VOCABULARY, token_counts
 
 #: documents per block of the flight phase
 BLOCK = 4000
+#: rows of all sizes in a block that go on undecided, so that the last level has some to settle with
+RESERVE = 60
 _UNIT = "doc_id bigint, source string, tokens bigint, base int, pi double, u double, block bigint"
 
 
@@ -61,15 +64,22 @@ def land(pi: list[float], size: list[int]) -> list[float]:
     return list(best)
 
 
-def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fly(pdf: pd.DataFrame, reserve: int = 0) -> pd.DataFrame:
     # the largest first: what is undecided in the end is small
     pdf = pdf.sort_values(["tokens", "u", "doc_id"], ascending=[False, True, True], ignore_index=True)
-    pdf["pi"] = flight(pdf["pi"].tolist(), pdf["tokens"].tolist(), pdf["u"].tolist())
+    fly = np.ones(len(pdf), dtype=bool)
+    if reserve:
+        fly[np.linspace(0, len(pdf) - 1, min(reserve, len(pdf))).astype(int)] = False
+    pdf.loc[fly, "pi"] = flight(pdf.loc[fly, "pi"].tolist(), pdf.loc[fly, "tokens"].tolist(), pdf.loc[fly, "u"].tolist())
     return pdf
 
 
-def mend(pi: list[float], size: list[int], want: float, most: int = 3) -> list[float]:
-    """Turn over up to ``most`` decided rows, each the one that brings the token total nearest to ``want``, while it gets nearer."""
+def _fly_on(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _fly(pdf, min(RESERVE, BLOCK // 10))
+
+
+def mend(pi: list[float], size: list[int], want: float, most: int = 200) -> list[float]:
+    """Turn over decided rows, each the one that brings the token total nearest to ``want``, while it gets nearer."""
     p = list(pi)
     off = want - sum(a * s for a, s in zip(p, size, strict=True))
     for _ in range(most):
@@ -119,8 +129,8 @@ def balanced_selection(units: DataFrame, quota: DataFrame, seed: int = 1) -> Dat
 
     A source that is to be taken c times on average gets every row floor(c) times and the rest by a sample with equal
     probabilities, balanced on tokens and on rows: the cube method's flight runs in blocks of some thousand rows
-    side by side, the at most two undecided rows of each block go on to the next level until one block per source is left,
-    and only that is landed. What the landing leaves over is made good by turning over at most three rows of that last
+    side by side, the at most two undecided rows of each block and some of all sizes go on to the next level until one block per source is left,
+    and only that is landed. What the landing leaves over is made good by turning over small rows of that last
     block, so a source's total is off by less than a row. No block grows with the data.
     """
     q = quota.select("source", "copies", F.ceil(F.col("docs") / BLOCK).cast("bigint").alias("blocks")).where("copies > 0")
@@ -133,12 +143,13 @@ def balanced_selection(units: DataFrame, quota: DataFrame, seed: int = 1) -> Dat
         F.pmod(key, F.greatest("blocks", F.lit(1))).alias("block"),
     )
     u = materialize(u, "units")
+    reserve = min(RESERVE, BLOCK // 10)
     done, most = None, (u.groupBy("source").agg(F.max("block").alias("b")).agg(F.max("b")).first()[0] or 0) + 1
     while most > 1:
-        u = materialize(u.groupBy("source", "block").applyInPandas(_fly, _UNIT), "flown")
+        u = materialize(u.groupBy("source", "block").applyInPandas(_fly_on, _UNIT), "flown")
         fixed = u.where("pi <= 0 or pi >= 1")
         done = fixed if done is None else done.union(fixed)
-        most = -(-2 * most // BLOCK)
+        most = -(-(reserve + 2) * most // BLOCK)
         u = u.where("pi > 0 and pi < 1").withColumn("block", F.pmod(F.col("block"), F.lit(most)))
     last = u.groupBy("source").applyInPandas(_fly_and_land, _UNIT)
     done = last if done is None else done.union(last)
