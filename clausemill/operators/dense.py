@@ -25,15 +25,19 @@ def _blocks(df: DataFrame, id_: str, vec: str, extra: list[str], size: int, seed
     )
 
 
-def cosine_top(queries: DataFrame, corpus: DataFrame, k: int | None, dims: int | None = None, scope: str | None = None, least: float | None = None, digits: int = 6) -> DataFrame:
+def cosine_top(
+    queries: DataFrame, corpus: DataFrame, k: int | None, dims: int | None = None, scope: str | None = None, least: float | None = None, best_of: str | None = None, digits: int = 6
+) -> DataFrame:
     """(qid, id, score): dot products of unit vectors, accumulated in double and rounded; per query the k best (all, if None).
 
     ``dims`` uses the first components only; ``scope`` names a column that must agree (filtered before ranking, as the
-    scores don't depend on each other); ``least`` drops scores below. A block pair keeps its own k best, so what leaves
+    scores don't depend on each other); ``least`` drops scores below; ``best_of`` names a column of the corpus of whose
+    values only the best row counts per query (as string column of the result; the column needs no null). A block pair keeps its own k best, so what leaves
     a task is bounded; the last cut is a window with a group limit. Null vectors and ids take no part.
     """
-    extra = [scope] if scope else []
-    q = _blocks(queries, "qid", "vector", extra, QUERY_BLOCK, 1).withColumnRenamed("rows", "qs")
+    extra = [c for c in dict.fromkeys((scope, best_of)) if c]
+    q_extra = [scope] if scope else []
+    q = _blocks(queries, "qid", "vector", q_extra, QUERY_BLOCK, 1).withColumnRenamed("rows", "qs")
     c = _blocks(corpus, "id", "vector", extra, CORPUS_BLOCK, 2).withColumnRenamed("rows", "cs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,12 +53,26 @@ def cosine_top(queries: DataFrame, corpus: DataFrame, k: int | None, dims: int |
                     ok &= s >= least
                 rows, cols = np.nonzero(ok)
                 out = pd.DataFrame({"qid": qi[rows], "id": ci[cols], "score": s[rows, cols]})
-                if k is not None:
+                if best_of:
+                    out[best_of] = np.array([r[best_of] for r in cs], dtype=object)[cols]
+                    out = out.sort_values(["qid", "score", "id"], ascending=[True, False, True]).drop_duplicates(["qid", best_of])
+                elif k is not None:
                     out = out.sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid", sort=False).head(k)
                 yield out
 
-    scored = c.repartition(max(1, c.sparkSession.sparkContext.defaultParallelism)).crossJoin(q).mapInPandas(run, "qid bigint, id bigint, score double")
+    scored = c.repartition(max(1, c.sparkSession.sparkContext.defaultParallelism)).crossJoin(q).mapInPandas(run, "qid bigint, id bigint, score double" + (f", {best_of} string" if best_of else ""))
+    if best_of:
+        per = Window.partitionBy("qid", best_of).orderBy(F.desc("score"), "id")
+        scored = scored.withColumn("_n", F.row_number().over(per)).where("_n = 1").drop("_n")
     if k is None:
         return scored
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def pair_scores(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, digits: int = 6) -> DataFrame:
+    """Pairs (qid, id, ...) with ``score``, the dot product of their vectors: for the few pairs that a first stage left."""
+    q = queries.select("qid", F.col("vector").cast("array<double>").alias("_q"))
+    c = corpus.select("id", F.col("vector").cast("array<double>").alias("_c"))
+    dot = F.aggregate(F.zip_with("_q", "_c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return pairs.join(q, "qid").join(c, "id").withColumn("score", F.round(dot, digits) + F.lit(0.0)).drop("_q", "_c")

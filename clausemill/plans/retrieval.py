@@ -66,10 +66,13 @@ def bm25_explain(spark: SparkSession, d: str) -> DataFrame:
     return c.join(best, ["qid", "id"]).select("qid", "id", "term", F.round("contribution", 6).alias("contribution"))
 
 
-def _by_label(spark: SparkSession, d: str, k: int | None, dims: int | None = None, scope: str | None = None, least: float | None = None) -> DataFrame:
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    q = e.where("id % 20 = 0").withColumnRenamed("id", "qid")
-    return dense.cosine_top(q, e, k, dims, scope, least)
+    return e.where("id % 20 = 0").withColumnRenamed("id", "qid"), e
+
+
+def _by_label(spark: SparkSession, d: str, k: int | None, dims: int | None = None, **how) -> DataFrame:
+    return dense.cosine_top(*_vectors(spark, d), k, dims, **how)
 
 
 def _dot(dims: int) -> str:
@@ -144,7 +147,9 @@ select k, w, hit, mrr, row_number() over (order by hit desc, round(mrr, 3) desc,
 
 
 def two_stage_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.two_stage(_two_ranks(spark, d), "rank_a", "score", 20).where("rank <= 10").select("qid", "id", "rank_a", "score", "rank")
+    """The 20 best by the first 16 components in the order of all of them; only these pairs are scored in full."""
+    first = _by_label(spark, d, 20, 16).select("qid", "id", F.col("rank").alias("rank_a"))
+    return ranking.two_stage(dense.pair_scores(first, *_vectors(spark, d)), "rank_a", "score", 20).where("rank <= 10").select("qid", "id", "rank_a", "score", "rank")
 
 
 TWO_STAGE = f"""with {_RANKS}, t as (select *, row_number() over (partition by qid order by rank_a <= 20 desc, case when rank_a <= 20 then -score else rank_a end, id) as rank from j)
@@ -152,8 +157,9 @@ select qid, id, rank_a, score, rank from t where rank <= 10"""
 
 
 def best_per_group_search(spark: SparkSession, d: str) -> DataFrame:
-    s = _by_label(spark, d, None).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
-    return ranking.best_of_groups(s, "label", 5).select("qid", "id", "label", "score", "rank")
+    """The best vector of each label, then the five best of these; blocks send on one row per query and label."""
+    r = _by_label(spark, d, 5, best_of="label")
+    return r.select("qid", "id", F.col("label").cast("bigint").alias("label"), "score", "rank")
 
 
 BEST_GROUP = f"""with {_dense_sql()}, b as (select * from (select *, row_number() over (partition by qid, label order by score desc, id) as g from s) where g = 1)
@@ -279,8 +285,7 @@ select qid, id, added, row_number() over (partition by qid order by added, rank,
 
 def round_robin_merge(spark: SparkSession, d: str) -> DataFrame:
     """The rankings by the first 16 components and by all, merged item by item, 4 and 3 deep."""
-    j = _two_ranks(spark, d)
-    a, b = (j.select("qid", F.lit(n).alias("list"), F.col(r).alias("rank"), F.col("id").alias("item")) for n, r in ((0, "rank_a"), (1, "rank_b")))
+    a, b = (_by_label(spark, d, k, dims).select("qid", F.lit(n).alias("list"), "rank", F.col("id").alias("item")) for n, k, dims in ((0, 4, 16), (1, 3, None)))
     return ranking.round_robin(a.union(b), F.when(F.col("list") == 0, 4).otherwise(3))
 
 

@@ -127,3 +127,25 @@ def test_fusion_with_weight_zero_is_the_second_ranking(spark):
     df = spark.createDataFrame([(1, i, 6 - i, i) for i in range(1, 6)], "qid bigint, id bigint, rank_a int, rank_b int")
     f = df.withColumn("f", ranking.fused(None, 60, 0.0))
     assert [r["id"] for r in f.orderBy(F.desc("f"), "id").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_block_search_with_nulls_and_ties(spark):
+    from clausemill.operators import dense
+
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], "a" if i < 4 else "b") for i in range(8)] + [(8, None, "a"), (None, [1.0, 0.0], "a")]
+    c = spark.createDataFrame(rows, "id bigint, vector array<double>, g string")
+    q = c.where("id in (1, 8)").withColumnRenamed("id", "qid")
+    got = [(r["qid"], r["id"], r["score"], r["rank"]) for r in dense.cosine_top(q, c, 3).orderBy("qid", "rank").collect()]
+    assert got == [(1, 1, 1.0, 1), (1, 3, 1.0, 2), (1, 5, 1.0, 3)]
+    best = [(r["id"], r["g"]) for r in dense.cosine_top(q, c, 5, best_of="g").orderBy("rank").collect()]
+    assert best == [(1, "a"), (5, "b")]
+    assert {r["id"] for r in dense.cosine_top(q, c, 9, scope="g").collect()} == {0, 1, 2, 3}
+    pairs = spark.createDataFrame([(1, 0), (1, 7), (1, 8)], "qid bigint, id bigint")
+    assert {r["id"]: r["score"] for r in dense.pair_scores(pairs, q, c).collect()} == {0: 0.0, 7: 1.0, 8: None}
+
+
+def test_facts_of_named_chunks(spark):
+    runs = spark.createDataFrame([("r", [("C1", ["k1", "k2", "none"]), ("C2", None)])], "id string, context array<struct<cid:string,chunk_ids:array<string>>>")
+    chunks = spark.createDataFrame([("k1", "d1", "等待期30日"), ("k2", "d2", "给付50%，30日")], "chunk_key string, doc_id string, text string")
+    r = grounding.context_facts(runs, chunks).collect()
+    assert len(r) == 1 and set(r[0]["held"]) == {"30 日", "50 %"} and set(r[0]["docs"]) == {"d1", "d2"}
