@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, spread
+from .blocks import facing
 from .dart import mix, signatures, sketch
 from .near import agreeing_bits, classes
 from .textnorm import codes, grams
@@ -19,11 +20,10 @@ from .textnorm import codes, grams
 
 @dataclass(frozen=True)
 class Winnow:
-    """k: characters of a gram; w: window, so every common run of k + w - 1 characters has a common seed; levels: how often a seed that is too frequent is lengthened by the next one; matches: occurrences on one side times those on the other up to which a seed is joined as it is; least: similarity of a reported pair; sketch_bits: agreeing bits, of the 64 * words of a min-hash sketch of the character pairs, that a match needs before the pair is looked at (four standard deviations under the mean at ``least``)."""
+    """k: characters of a gram; w: window, so every common run of k + w - 1 characters has a common seed; matches: texts of one side times those of the other up to which a seed is joined row by row, above it is compared in blocks; least: similarity of a reported pair; sketch_bits: agreeing bits, of the 64 * words of a min-hash sketch of the character pairs, that a pair needs before it is looked at (four standard deviations under the mean at ``least``)."""
 
     k: int = 8
     w: int = 4
-    levels: int = 4
     matches: int = 400
     least: float = 0.5
     words: int = 6
@@ -50,23 +50,16 @@ def _sketch(how: Winnow) -> list[str]:
 
 
 def _seeds(how: Winnow):
-    names = ["rid", "pos", *_sketch(how), *(f"h{i}" for i in range(how.levels))]
+    names = ["rid", *_sketch(how), "h"]
 
     def some(rids: list[int], texts: list[str]) -> pd.DataFrame:
         rows, values = grams(texts, 2)
         sk = sketch(signatures(rows, mix(values), None, len(texts), 64 * how.words), how.words)
         out: list[list] = [[] for _ in names]
         for i, (rid, text) in enumerate(zip(rids, texts, strict=True)):
-            h, at = fingerprints(text, how)
-            key = h.copy()
-            keys = [key.view(np.int64)]
-            for level in range(1, how.levels):
-                # the last seeds have nothing behind them: their run ends with the text
-                nxt = np.concatenate([h[level:], np.zeros(min(level, len(h)), dtype=np.uint64)])
-                key = mix(key * np.uint64(0xD6E8FEB86659FD93) ^ nxt)
-                keys.append(key.view(np.int64))
+            h = np.unique(fingerprints(text, how)[0]).view(np.int64)
             n = len(h)
-            for column, x in zip(out, (np.full(n, rid), at, *(np.full(n, x) for x in sk[i]), *keys), strict=True):
+            for column, x in zip(out, (np.full(n, rid), *(np.full(n, x) for x in sk[i]), h), strict=True):
                 column.append(x)
         return pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, out, strict=True)})
 
@@ -85,28 +78,31 @@ def _seeds(how: Winnow):
 
 
 def seeds(reps: DataFrame, how: Winnow) -> DataFrame:
-    """(rid, norm) -> (rid, pos, s0, ..., h0, ...): hN is the seed together with the N seeds behind it, s0 and on the sketch."""
-    return spread(reps, "rid").mapInPandas(_seeds(how), "rid bigint, pos bigint, " + ", ".join(f"{c} bigint" for c in (*_sketch(how), *(f"h{i}" for i in range(how.levels)))))
+    """(rid, norm) -> (rid, s0, ..., h): each seed of a text once, s0 and on the sketch."""
+    return spread(reps, "rid").mapInPandas(_seeds(how), "rid bigint, " + ", ".join(f"{c} bigint" for c in (*_sketch(how), "h")))
+
+
+def _sketched(how: Winnow):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                apart = np.zeros((len(row.x_rid), len(row.y_rid)), dtype=np.int16)
+                for c in _sketch(how):
+                    apart += np.bitwise_count(getattr(row, f"x_{c}").view(np.uint64)[:, None] ^ getattr(row, f"y_{c}").view(np.uint64)[None, :])
+                i, j = np.nonzero(64 * how.words - apart >= how.sketch_bits)
+                yield pd.DataFrame({"a": row.x_rid[i], "b": row.y_rid[j]})
+
+    return run
 
 
 def _matched(left: DataFrame, right: DataFrame, how: Winnow) -> DataFrame:
-    """(a, b, pa, pb) of common seeds. Seeds that would give more than ``matches`` matches go on to the next, longer level; the last level joins them all."""
-    out = None
-    for level in range(how.levels):
-        h = f"h{level}"
-        nl, nr = left.groupBy(h).agg(F.count("*").alias("n")), right.groupBy(h).agg(F.count("*").alias("m"))
-        both = nl.join(nr, h)
-        last = level == how.levels - 1
-        few = both.where(F.lit(True) if last else F.col("n") * F.col("m") <= how.matches).select(h)
-        x = left.join(few, h, "left_semi").select(h, *_sketch(how), F.col("rid").alias("a"), F.col("pos").alias("pa")).alias("x")
-        y = right.join(few, h, "left_semi").select(h, *_sketch(how), F.col("rid").alias("b"), F.col("pos").alias("pb")).alias("y")
-        m = x.join(y, (F.col(f"x.{h}") == F.col(f"y.{h}")) & (agreeing_bits("x", "y", how.words) >= how.sketch_bits)).select("a", "b", "pa", "pb")
-        out = m if out is None else out.union(m)
-        if not last:
-            many = both.where(F.col("n") * F.col("m") > how.matches).select(h)
-            left = materialize(left.join(many, h, "left_semi"), "seeds")
-            right = materialize(right.join(many, h, "left_semi"), "seeds")
-    return out
+    """(a, b), each once: texts with a common seed whose sketches agree. A seed of more than ``matches`` pairs is compared in blocks, all its pairs like those of any other."""
+    both = materialize(left.groupBy("h").agg(F.count("*").alias("n")).join(right.groupBy("h").agg(F.count("*").alias("m")), "h"), "common")
+    few, many = both.where(F.col("n") * F.col("m") <= how.matches).select("h"), both.where(F.col("n") * F.col("m") > how.matches).select("h")
+    x, y = left.join(few, "h", "left_semi").alias("x"), right.join(few, "h", "left_semi").alias("y")
+    rare = x.join(y, (F.col("x.h") == F.col("y.h")) & (agreeing_bits("x", "y", how.words) >= how.sketch_bits)).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
+    hot = facing(left.join(many, "h", "left_semi"), right.join(many, "h", "left_semi"), "h").mapInPandas(_sketched(how), "a bigint, b bigint")
+    return rare.union(hot).distinct()
 
 
 def chain(pa: list[int], pb: list[int]) -> list[tuple[int, int]]:
@@ -151,16 +147,29 @@ def _grams(t: str) -> set[str]:
     return {t[i : i + 2] for i in range(len(t) - 1)} or {t}
 
 
+def common_seeds(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[list[int], list[int]]:
+    """Positions of the seeds that two texts share, every occurrence with every other."""
+    at: dict[int, list[int]] = {}
+    for h, p in zip(a[0].tolist(), a[1].tolist(), strict=True):
+        at.setdefault(h, []).append(p)
+    hits = [(p, q) for h, q in zip(b[0].tolist(), b[1].tolist(), strict=True) for p in at.get(h, ())]
+    return [p for p, _ in hits], [q for _, q in hits]
+
+
 def _align(how: Winnow):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for a, b, ta, tb, pa, pb in zip(*(pdf[c] for c in ("a", "b", "ta", "tb", "pa", "pb")), strict=True):
+            known: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # of one batch
+            for a, b, ta, tb in zip(*(pdf[c] for c in ("a", "b", "ta", "tb")), strict=True):
                 ga, gb = _grams(ta), _grams(tb)
                 both = len(ga & gb)
                 s = both / (len(ga) + len(gb) - both)
                 if s >= how.least:
-                    ca, cb = extend(ta, tb, chain(list(pa), list(pb)), how.k)
+                    for t in (ta, tb):
+                        if t not in known:
+                            known[t] = fingerprints(t, how)
+                    ca, cb = extend(ta, tb, chain(*common_seeds(known[ta], known[tb])), how.k)
                     rows.append((a, b, s, ca / len(ta), cb / len(tb)))
             yield pd.DataFrame(rows, columns=["a", "b", "similarity", "coverage_a", "coverage_b"])
 
@@ -189,8 +198,7 @@ def cross_overlaps(train: DataFrame, held: DataFrame, how: Winnow = Winnow()) ->
     ma, ra = side(train, "train")
     mb, rb = side(held, "held")
     found = _matched(materialize(seeds(ra.select("rid", "norm"), how), "seeds"), materialize(seeds(rb.select("rid", "norm"), how), "seeds"), how)
-    cand = found.groupBy("a", "b").agg(F.collect_list("pa").alias("pa"), F.collect_list("pb").alias("pb"))
-    cand = cand.join(ra.select(F.col("rid").alias("a"), F.col("norm").alias("ta")), "a").join(rb.select(F.col("rid").alias("b"), F.col("norm").alias("tb")), "b")
+    cand = found.join(ra.select(F.col("rid").alias("a"), F.col("norm").alias("ta")), "a").join(rb.select(F.col("rid").alias("b"), F.col("norm").alias("tb")), "b")
     alike = cand.mapInPandas(_align(how), "a bigint, b bigint, similarity double, coverage_a double, coverage_b double")
     alike = materialize(alike, "alike")
     return (

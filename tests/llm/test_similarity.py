@@ -121,3 +121,23 @@ def test_cross_overlaps_against_brute_force(spark):
     held = fb.selectExpr("id", "'s' as split", "'w' as writer")
     r = overlap.overlap_report(found, held).first()
     assert r["records"] == len(b) and r["overlapping"] == len({j for _, j in got})
+
+
+def test_seeds_of_a_hot_question_lose_no_pair(spark):
+    """Edits spread over the variants of one question leave short common runs only, in seeds of more than ``matches`` pairs."""
+    rng = random.Random(3)
+    base = [chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(60)]
+
+    def variant():
+        t = list(base)
+        for _ in range(4):
+            t[rng.randrange(len(t))] = chr(rng.randint(0x4E00, 0x5FFF))
+        return "".join(t)
+
+    a, b = {f"b{i}": variant() for i in range(40)}, {f"d{i}": variant() for i in range(40)}
+    how = overlap.Winnow()
+    seeds = {t: set(overlap.fingerprints(t, how)[0].tolist()) for t in (*a.values(), *b.values())}
+    want = {(i, j) for i, x in a.items() for j, y in b.items() if seeds[x] & seeds[y] and len(grams(x) & grams(y)) >= 0.5 * len(grams(x) | grams(y))}
+    frames = [spark.createDataFrame(list(t.items()), "id string, text string") for t in (a, b)]
+    got = {(r["id_a"], r["id_b"]) for r in overlap.cross_overlaps(*frames, how).collect()}
+    assert got == want and len(want) > 1500
