@@ -40,7 +40,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.group_pairs(neardup.near_duplicates(_candidates(spark, d)))
+    return neardup.group_pairs(neardup.similar_groups(_candidates(spark, d)))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from clausemill.llm import dart, neardup, overlap
+from clausemill.llm import blocks, dart, neardup, overlap
 from clausemill.llm.components import components
 from clausemill.llm.near import Banding
 from clausemill.llm.textnorm import plain
@@ -141,3 +141,29 @@ def test_seeds_of_a_hot_question_lose_no_pair(spark):
     frames = [spark.createDataFrame(list(t.items()), "id string, text string") for t in (a, b)]
     got = {(r["id_a"], r["id_b"]) for r in overlap.cross_overlaps(*frames, how).collect()}
     assert got == want and len(want) > 1500
+
+
+def test_links_of_a_hot_group_are_all_counted(spark):
+    rng = random.Random(6)
+    base = [chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(40)]
+    t = {}
+    for i in range(90):
+        x = list(base)
+        for _ in range(rng.randint(1, 9)):
+            x[rng.randrange(len(x))] = chr(rng.randint(0x4E00, 0x5FFF))
+        t[i] = "".join(x)
+    g = {i: grams(x) for i, x in t.items()}
+    want = {i: sum(len(g[i] & g[j]) >= 0.5 * len(g[i] | g[j]) for j in g if j != i) for i in g}
+    df = spark.createDataFrame(list(t.items()), "id bigint, text string")
+    r = neardup.near_duplicates(df, Banding(b=128, small=2)).collect()
+    assert max(want.values()) > 50
+    assert {x["id"]: x["class_links"] for x in r} == want
+
+
+def test_blocks_meet_each_other_once(spark):
+    df = spark.range(70).selectExpr("id % 2 as k", "id as rid")
+    rows = blocks.facing(df, df.where("rid < 30"), "k", 8).collect()
+    met = [(x, y) for r in rows for x in r["x_rid"] for y in r["y_rid"]]
+    assert len(rows) > 2 and len(met) == len(set(met)) and set(met) == {(x, y) for x in range(70) for y in range(30) if x % 2 == y % 2}
+    sets = [np.array([1, 2, 3]), np.array([9]), np.array([3, 2, 7, 8])]
+    assert blocks.common(sets, sets[:2], 2).tolist() == [[3, 0], [0, 1], [2, 0]]
