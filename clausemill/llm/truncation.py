@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import endmodel
+from .blocks import alike, facing
+from .components import components
 from .near import Banding, classes, links, signed
 
 #: five-character shingles, similarity 0.8: what is a near copy of a text that lost its end
@@ -35,15 +37,26 @@ def ends_early(short: str, long: str, tail: int = 8) -> int | None:
     return best
 
 
-def _by_copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        cut = []
-        for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-            (s, short), (_, long) = sorted(((a, ta), (b, tb)), key=lambda x: len(x[1]))
-            at = ends_early(short, long)
-            if at is not None and long[at] not in "。！？!?.；;\n[\"" and short[-1] not in "。！？!?.}`":
-                cut.append(s)
-        yield pd.DataFrame({"rid": np.array(cut, dtype=np.int64)})
+#: what a text that isn't cut ends with, and what no cut stands before
+WHOLE, BEFORE = "。！？!?.}`", "。！？!?.；;\n[\""
+
+
+def _by_copy(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for xr, xt, xs, yr, yt, ys in zip(*(pdf[c] for c in ("x_rid", "x_toks", "x_norm", "y_rid", "y_toks", "y_norm")), strict=True):
+                near, cut = alike(xt, yt, least), []
+                for i, (rid, short) in enumerate(zip(xr, xs, strict=True)):
+                    for j in np.nonzero(near[i])[0]:
+                        long = ys[j]
+                        if (len(short), rid) < (len(long), yr[j]):
+                            at = ends_early(short, long)
+                            if at is not None and long[at] not in BEFORE:
+                                cut.append(rid)
+                                break
+                yield pd.DataFrame({"rid": np.array(cut, dtype=np.int64)})
+
+    return run
 
 
 def _text(t: str | None) -> str:
@@ -51,13 +64,17 @@ def _text(t: str | None) -> str:
 
 
 def cut_by_copy(texts: DataFrame, how: Banding = NEAR) -> DataFrame:
-    """(id): texts of which a verified near copy goes on where they end. texts: (id bigint, text)."""
+    """(id): texts of which a verified near copy goes on where they end. texts: (id bigint, text).
+
+    Each text without an end is compared with all of its group of near copies, in blocks; only what was found leaves a task.
+    """
     member = materialize(classes(texts, _text).groupBy("id").agg(F.min("norm").alias("norm")), "member")
     reps = materialize(member.groupBy("norm").agg(F.min("id").alias("rid")), "reps")
     sigs = materialize(signed(reps.select("rid", "norm"), how), "signed")
-    e = links(sigs, how).select("a", "b").distinct()
-    both = e.join(reps.select(F.col("rid").alias("a"), F.col("norm").alias("ta")), "a").join(reps.select(F.col("rid").alias("b"), F.col("norm").alias("tb")), "b")
-    cut = both.mapInPandas(_by_copy, "rid bigint").distinct()
+    label = components(links(sigs, how).select("a", "b").distinct())
+    at = materialize(sigs.select("rid", "toks").join(label.withColumnRenamed("node", "rid"), "rid").join(reps, "rid"), "grouped")
+    open_ = at.where(~F.substring("norm", -1, 1).isin(list(WHOLE)))
+    cut = facing(open_, at, "component", 256).mapInPandas(_by_copy(how.least), "rid bigint").distinct()
     return cut.join(reps, "rid").select("norm").join(member, "norm").select("id")
 
 

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 
 from clausemill.llm import endmodel, pairs, truncation
@@ -77,3 +78,18 @@ def test_end_shares():
 def test_language_posteriors():
     got = languages(["被保险人自合同生效之日起给付", "the waiting period is counted from the day", "le bénéficiaire peut être modifié par écrit", "el beneficiario puede cambiarse por escrito", "Người thụ hưởng có thể được thay đổi", "보험금을 청구할 수 있습니다", "保険金を請求することができます", "12", ""])
     assert got == ["zh", "en", "fr", "es", "vi", "ko", "ja", None, None]
+
+
+def test_cut_copies_of_a_hot_family(spark):
+    """The first texts of the family differ where text 60 ends: only the whole copy beside them tells that it goes on."""
+    rng = random.Random(8)
+    base = [chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(200)]
+    t = {60: "".join(base[:185]), 61: "".join(base) + "。"}
+    for i in range(60):
+        x = list(base)
+        x[177 + i % 8] = chr(0x9000 + i)
+        t[i] = "".join(x) + "。"
+    df = spark.createDataFrame(list(t.items()), "id bigint, text string")
+    how = dataclasses.replace(truncation.NEAR, small=2)
+    assert [r["id"] for r in truncation.cut_by_copy(df, how).collect()] == [60]
+    assert truncation.cut_by_copy(df.limit(0), how).count() == 0
