@@ -181,9 +181,10 @@ def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     Order-dependent: a dropped one suppresses none. Solved in rounds over the links alone: a vector is kept once all linked ones before it are
     dropped, and dropped once one of them is kept; each round decides at least the first undecided.
     """
-    s = _by_label(spark, d, None, least=0.3)
-    q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"))
-    links = materialize(s.where("id < qid and id % 20 = 0").select(F.col("qid").alias("v"), F.col("id").alias("u")), "links")
+    e = table(spark, d, "embeddings").where("vec_id is not null")
+    s = dense.cosine_top(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), None, least=0.3)
+    links = materialize(s.where("id < qid").select(F.col("qid").alias("v"), F.col("id").alias("u")), "links")
+    q = e.select(F.col("vec_id").alias("id")).distinct()
     state = materialize(q.join(links.select(F.col("v").alias("id")).distinct().withColumn("has", F.lit(True)), "id", "left").select("id", F.when(F.col("has").isNull(), True).alias("kept")), "state")
     while not state.where("kept is null").isEmpty():
         of = links.join(state.select(F.col("id").alias("u"), F.col("kept").alias("ku")), "u").groupBy("v").agg(F.max(F.coalesce("ku", F.lit(False))).alias("hit"), F.count_if(F.col("ku").isNull()).alias("wait"))

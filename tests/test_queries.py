@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from clausemill.plans import catalogue
@@ -54,3 +55,16 @@ def empty(spark, sf, tmp_path_factory):
 @pytest.mark.parametrize("name", ["bm25_topk", "dense_topk", "citation_check", "latency_quantiles", "clause_segments", "routing_policies", "greedy_dedup", "context_blocks"])
 def test_empty_tables(spark, empty, name):
     assert Q[name](spark, empty).count() == 0
+
+
+def test_greedy_dedup_judges_every_vector(spark, sf):
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id is not null and embedding is not null").collect())
+    v = np.array([e for _, e in rows], dtype=float)
+    kept, want = [], {}
+    for i, (vec_id, _) in enumerate(rows):
+        want[vec_id] = not kept or bool((np.round(v[kept] @ v[i], 6) < 0.3).all())
+        if want[vec_id]:
+            kept.append(i)
+    got = Q["greedy_dedup"](spark, sf).collect()
+    assert {r["id"]: r["kept"] for r in got} == want and len(got) == len(want)
+    assert False in want.values() and True in want.values()
