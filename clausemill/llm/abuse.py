@@ -43,6 +43,9 @@ WORDS = {
     "hate": "vermin subhuman",
     "sexual": "cock pussy blowjob porn porno horny nudes whore slut cumshot",
 }
+# Words of one's own that are an edit away from one of WORDS.
+_PLAIN = set("bustard bastarda regard reward retards retardant petard wander walker wankel waker britches birches botches batches vermis verein pron cnut assole".split())
+_DIGITS = str.maketrans("013457", "oieast")
 # Other spellings by sound, look or initials, in condensed text.
 _SPELLINGS = (
     (re.compile("[傻沙煞莎啥儍](?:[逼比笔币必屄叉]|13|[bx](?![a-z]))"), "傻逼"),
@@ -153,6 +156,8 @@ def _matcher() -> tuple[ahocorasick.Automaton, LexiconTrie, LexiconTrie, dict]:
     pieces: dict[str, set[tuple[str, str]]] = {}
     for w, (_, _, k) in terms.items():
         cut = len(w) // 2
+        if k and (turn := w[: cut - 1] + w[cut] + w[cut - 1] + w[cut + 1 :]) != w:  # a swap at the cut leaves neither half
+            pieces.setdefault(turn, set()).add(("swap", w))
         for piece, side in ((w[:cut], "head"), (w[cut:], "tail")) if k else ((w, ""),):
             pieces.setdefault(piece, set()).add((side, "" if k else w))
     for p, v in pieces.items():
@@ -162,6 +167,26 @@ def _matcher() -> tuple[ahocorasick.Automaton, LexiconTrie, LexiconTrie, dict]:
     return a, LexiconTrie(terms), LexiconTrie(terms, True), kinds
 
 
+@lru_cache(1)
+def _words() -> LexiconTrie:
+    return LexiconTrie({w: (kind, 0.8, 1) for kind, ws in WORDS.items() for w in ws.split() if len(w) >= 4 and w.isalpha() and w not in ("nmsl", "mlgb")})
+
+
+@lru_cache(1 << 16)
+def misspelt(token: str) -> str | None:
+    """The word of WORDS that a whole token is one edit away from, first letter kept; words under six letters allow a doubled letter, swapped neighbours and a digit for a letter only."""
+    if len(token) < 4 or not token[0].isalpha() or token in _PLAIN:
+        return None
+    for w in sorted({w for w, end, edits in _words().find(token, 0) if edits and end == len(token)}):
+        if w[0] != token[0]:
+            continue
+        doubled = len(token) == len(w) + 1 and any(token[i] == token[i + 1] and token[:i] + token[i + 1 :] == w for i in range(len(w)))
+        swapped = len(token) == len(w) and sorted(token) == sorted(w)
+        if len(w) >= 6 or doubled or swapped or token.translate(_DIGITS) == w:
+            return w
+    return None
+
+
 class _Fold(dict):
     """Character -> its plain form, worked out once per character."""
 
@@ -215,6 +240,8 @@ def findings(text: str | None) -> list[tuple[str, str, float]]:
             elif side == "tail":
                 turned = turned or s[::-1]
                 near.update((edits, len(s) - stop, w_, end + 1) for w_, stop, edits in backwards.find(turned, len(s) - 1 - end, n))
+            elif side == "swap":
+                near.add((1, start, w, end + 1))
             else:
                 around = s[max(0, start - 1) : start + len(w) + 1]
                 if w not in _HARMLESS or not _HARMLESS[w].search(around):
@@ -236,6 +263,8 @@ def findings(text: str | None) -> list[tuple[str, str, float]]:
     for m in _TOKEN.finditer(_SEP.sub("", fold)):
         if m.group(0) in kinds:
             out.append((kinds[m.group(0)], m.group(0), 0.8))
+        elif w := misspelt(m.group(0)):
+            out.append((kinds[w], w, 0.8 * 0.85))
     return out
 
 

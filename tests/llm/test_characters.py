@@ -99,3 +99,15 @@ def test_scored_frames(spark):
     assert s.count() == 5 and [r["doc_id"] for r in abuse.unsafe(s).collect()] == [1]
     r = {x["source"]: (x["documents"], x["flagged"]) for x in abuse.rates(s).collect()}
     assert r == {"s": (4, 2), None: (1, 0)} and abuse.scored(df.limit(0)).count() == 0
+
+
+def test_misspelt_words_and_swaps_in_the_middle():
+    for t in ["you basstard", "what an ashsole", "sh1t", "fcuk this", "a moronnic answer", "要打你断的腿"]:
+        assert abuse.score(t)[0] >= abuse.THRESHOLD, t
+    for t in ["with regard to the reward", "a walker may wander", "ducking, tucking, pitches, witches", "short shut duck count corn", "fire retardant", "coco clock"]:
+        assert abuse.score(t)[0] < abuse.THRESHOLD, (t, abuse.findings(t))
+    for w, (_, _, k) in abuse._terms().items():
+        cut = len(w) // 2
+        turn = w[: cut - 1] + w[cut] + w[cut - 1] + w[cut + 1 :]
+        if k and abuse.condensed(turn) == turn:
+            assert abuse.findings(turn), turn
