@@ -93,3 +93,9 @@ def test_cut_copies_of_a_hot_family(spark):
     how = dataclasses.replace(truncation.NEAR, small=2)
     assert [r["id"] for r in truncation.cut_by_copy(df, how).collect()] == [60]
     assert truncation.cut_by_copy(df.limit(0), how).count() == 0
+
+
+def test_long_copies_and_long_nothing():
+    q = "等待期内确诊的，是否退还已交保险费？"
+    assert pairs.copies(q, q * 5) and not pairs.copies(q, q + "退还已交保险费，合同终止。" * 9)
+    assert pairs.says_nothing("回答：" + " " * 300) and pairs.says_nothing("回答：" + "[C1]" * 80) and not pairs.says_nothing("回答：" + " " * 300 + "退还")
