@@ -1,210 +1,239 @@
-"""Problem 6: percentiles of very large numeric columns from mergeable rank-interval summaries (Greenwald and Khanna)."""
+"""Problem 6: percentiles of very large numeric columns from mergeable rank-interval summaries (Greenwald and Khanna).
+
+A summary of n values is a list of tuples (v, lo, hi): the value v has a rank from lo to hi among them. Its error is half
+of the largest uncertainty ``hi of a tuple - lo of the tuple before``: every rank is that near to some tuple.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 KEYS = ["g0", "g1", "g2", "metric"]
-_TUPLES = "g0 string, g1 string, g2 date, metric string, part bigint, v double, g bigint, d bigint"
-
-
-def compress(v: np.ndarray, g: np.ndarray, d: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge neighbours while no tuple's uncertainty g + d exceeds ``budget`` ranks; the first and the last value stay."""
-    if budget < 2 or len(v) < 4:
-        return v, g, d
-    keep, acc = [len(v) - 1], 0
-    heads = [int(g[-1])]
-    for i in range(len(v) - 2, 0, -1):
-        k = keep[-1]
-        acc = heads[-1] + int(g[i])
-        if k != len(v) - 1 and acc + int(d[k]) <= budget:
-            heads[-1] = acc
-        else:
-            keep.append(i)
-            heads.append(int(g[i]))
-    keep.append(0)
-    heads.append(int(g[0]))
-    at = np.array(keep[::-1])
-    return v[at], np.array(heads[::-1]), d[at]
-
-
-def summarize(values: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Summary (v, g, d) of ascending values: every (2 eps n)-th, with exact ranks."""
-    n = len(values)
-    step = max(1, int(2 * eps * n))
-    at = np.unique(np.append(np.arange(0, n, step), n - 1))
-    return values[at], np.diff(np.append(-1, at)), np.zeros(len(at), dtype=np.int64)
-
-
-def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One summary of all; its largest uncertainty is at most the sum over the parts, which is eps of the sum of their sizes."""
-    if len(parts) == 1:
-        return parts[0]
-    v = np.concatenate([p[0] for p in parts])
-    if all((p[1] == 1).all() and not p[2].any() for p in parts):
-        v = np.sort(v)
-        return v, np.ones(len(v), dtype=np.int64), np.zeros(len(v), dtype=np.int64)
-    own = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    order = np.lexsort((own, v))
-    v, own = v[order], own[order]
-    low, high = np.zeros(len(v), dtype=np.int64), np.zeros(len(v), dtype=np.int64)
-    for s, (pv, pg, pd_) in enumerate(parts):
-        rmin = np.cumsum(pg)
-        rmax = rmin + pd_
-        mine = own == s
-        # of another part, tuples of the same value count as before only where that part comes before
-        before = np.where(own > s, np.searchsorted(pv, v, "right"), np.searchsorted(pv, v, "left"))
-        lo = np.where(before > 0, rmin[np.maximum(before - 1, 0)], 0)
-        hi = np.where(before < len(pv), rmax[np.minimum(before, len(pv) - 1)] - 1, rmax[-1])
-        low += np.where(mine, 0, lo)
-        high += np.where(mine, 0, hi)
-        low[mine] += rmin
-        high[mine] += rmax
-    low = np.maximum.accumulate(low)
-    return v, np.diff(np.append(0, low)), np.maximum(high - low, 0)
-
-
-def query(v: np.ndarray, g: np.ndarray, d: np.ndarray, q: float) -> tuple[float, int]:
-    """The value for quantile q, and how many ranks it may be off."""
-    rmin = np.cumsum(g)
-    rmax = rmin + d
-    r = max(1, int(np.ceil(q * rmin[-1] - 1e-9)))
-    off = np.maximum(r - rmin, rmax - r)
-    k = int(off.argmin())
-    return float(v[k]), int(max(off[k], 0))
-
-
-def _groups(pdf: pd.DataFrame) -> Iterator[tuple[int, int]]:
-    """Bounds of the runs of equal keys."""
-    if not len(pdf):
-        return
+_TUPLES = "g0 string, g1 string, g2 date, metric string, part bigint, v double, lo bigint, hi bigint"
+#: proven rank error as a share of the group's size
+EPS = 0.005
+#: summaries of one key that one step merges
+FAN = 64
+_FIELDS = ["part", "v", "lo", "hi"]
+
+
+def compress(lo: np.ndarray, hi: np.ndarray, permitted: float) -> np.ndarray:
+    """Places of the tuples that stay: from each the farthest one that keeps the uncertainty between the two permitted; first and last stay."""
+    n = len(lo)
+    if permitted < 2 or n < 3:
+        return np.arange(n)
+    keep, at = [0], 0
+    while at < n - 1:
+        at = max(at + 1, int(np.searchsorted(hi, lo[at] + permitted, "right")) - 1)
+        keep.append(at)
+    return np.array(keep)
+
+
+def merge(group: np.ndarray, part: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, v, lo, hi): one summary per group, of all its parts at once. Rows come by group, part, lo.
+
+    In the order of values the lower rank is the running sum of what each tuple's part gains with it, and so is the upper
+    one, of the ranks that each part's next tuple still allows; so any number of parts takes one sort.
+    """
+    n = len(v)
+    if not n:
+        return group, v, lo, hi
+    new = np.ones(n, dtype=bool)
+    new[1:] = (group[1:] != group[:-1]) | (part[1:] != part[:-1])
+    last = np.append(new[1:], True)
+    gain = lo - np.where(new, 0, np.append(0, lo[:-1]))
+    # the most ranks that the own part can have had before whatever follows this tuple
+    after = np.where(last, hi, np.append(hi[1:], 0) - 1)
+    rise = after - hi + 1
+    order = np.lexsort((lo, part, v, group))
+    g = group[order]
+    heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    size = np.diff(np.append(heads, n))
+
+    def running(x: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        c = np.cumsum(x)
+        base = np.where(heads > 0, c[heads - 1], 0)
+        return c - np.repeat(base if start is None else base - start, size)
+
+    # parts whose first tuple is still to come may have had up to hi - 1 ranks as well
+    first = np.add.reduceat(np.where(new, hi - 1, 0)[order], heads)
+    low, high = running(gain[order]), running(rise[order], first) - after[order] + hi[order]
+    return g, v[order], low, np.maximum(high, low)
+
+
+def query(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, heads: np.ndarray, q: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per summary (they begin at ``heads``): the value for quantile q, and how many ranks it may be off."""
+    size = np.diff(np.append(heads, len(v)))
+    total = hi[heads + size - 1]
+    r = np.repeat(np.maximum(1, np.ceil(q * total - 1e-9)).astype(np.int64), size)
+    off = np.maximum(np.maximum(r - lo, hi - r), 0)
+    least = np.minimum.reduceat(off, heads)
+    hit = np.flatnonzero(off == np.repeat(least, size))
+    at = hit[np.searchsorted(hit, heads)]
+    return v[at], least
+
+
+def _heads(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Where runs of equal values in ``columns`` begin."""
     new = np.zeros(len(pdf), dtype=bool)
-    new[0] = True
-    for c in KEYS:
-        x = pd.factorize(pdf[c], use_na_sentinel=True)[0]
+    if len(pdf):
+        new[0] = True
+    for c in columns:
+        x = pdf[c].to_numpy() if pd.api.types.is_integer_dtype(pdf[c].dtype) else pd.factorize(pdf[c], use_na_sentinel=True)[0]
         new[1:] |= x[1:] != x[:-1]
-    at = np.append(np.flatnonzero(new), len(pdf))
-    yield from zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+    return np.flatnonzero(new)
 
 
 def _local(eps: float, block: int = 1 << 18):
-    """Values -> tuples. A task holds one block of values; each block is summarized as it comes."""
+    """Values -> summaries. A task holds one block of values at a time and summarizes it as it comes: every (2 eps n)-th value, with its rank."""
     import pyspark
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = pyspark.TaskContext.get()
-        part = context.partitionId() if context else 0
+        part = (context.partitionId() if context else 0) << 32
         held: list[pd.DataFrame] = []
-        rows = blocks = 0
+        rows = 0
 
-        def flush() -> pd.DataFrame:
+        def flush(no: int) -> pd.DataFrame:
             pdf = pd.concat(held, ignore_index=True).sort_values([*KEYS, "value"], kind="stable", ignore_index=True)
-            values = pdf["value"].to_numpy()
-            at, gs = [], []
-            for lo, hi in _groups(pdf):
-                n = hi - lo
-                step = max(1, int(2 * eps * n))
-                if step == 1:
-                    at.append(np.arange(lo, hi))
-                    gs.append(np.ones(n, dtype=np.int64))
-                else:
-                    i = np.unique(np.append(np.arange(0, n, step), n - 1))
-                    at.append(lo + i)
-                    gs.append(np.diff(np.append(-1, i)))
-            at_ = np.concatenate(at)
-            out = pdf.loc[at_, KEYS]
-            return out.assign(part=np.int64(part * 1_000_003 + blocks), v=values[at_], g=np.concatenate(gs), d=np.int64(0))
-
+            heads = _heads(pdf, KEYS)
+            size = np.diff(np.append(heads, len(pdf)))
+            n = np.repeat(size, size)
+            rank = np.arange(len(pdf)) - np.repeat(heads, size) + 1
+            step = np.maximum(1, (2 * eps * n).astype(np.int64))
+            keep = ((rank - 1) % step == 0) | (rank == n)
+            return pdf.loc[keep, KEYS].assign(part=np.int64(part + no), v=pdf["value"].to_numpy()[keep], lo=rank[keep], hi=rank[keep])
+
+        blocks = 0
         for pdf in batches:
             held.append(pdf)
             rows += len(pdf)
             if rows >= block:
-                yield flush()
+                yield flush(blocks)
                 held, rows, blocks = [], 0, blocks + 1
         if rows:
-            yield flush()
+            yield flush(blocks)
 
     return run
 
 
-def _merge_sorted(budget_eps: float, finish):
-    """Tuples sorted by key and part -> one result per key; a key's tuples are carried over batches."""
+def _by_group(columns: list[str], finish: Callable[[pd.DataFrame, tuple], pd.DataFrame]):
+    """Tuples sorted by ``columns``, source part and lo -> ``finish`` of the merged groups; a group may run over batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-
-        def emit(pdf: pd.DataFrame) -> pd.DataFrame | None:
-            out = []
-            v, g, d, part = (pdf[c].to_numpy() for c in ("v", "g", "d", "part"))
-            for lo, hi in _groups(pdf):
-                cuts = np.append(np.append(lo, lo + 1 + np.flatnonzero(part[lo + 1 : hi] != part[lo : hi - 1])), hi)
-                s = merge([(v[a:b], g[a:b], d[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-                s = compress(*s, 2 * budget_eps * int(s[1].sum()))
-                out.append((tuple(pdf[c].iat[lo] for c in KEYS), s))
-            return finish(out)
+    def done(held: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+        heads = _heads(pdf, columns)
+        group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(pdf))))
+        merged = merge(group, *(pdf[c].to_numpy() for c in ("part", "v", "lo", "hi")))
+        return finish(pdf.loc[heads, columns].reset_index(drop=True), merged)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: list[pd.DataFrame] = []  # whole groups that wait, and the one that isn't over
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            runs = list(_groups(pdf))
-            if not runs:
+            if not len(pdf):
                 continue
-            last = runs[-1][0]
+            if open_:
+                tail = open_[-1][columns].iloc[[-1]]
+                same = len(_heads(pd.concat([tail, pdf[columns].iloc[[0]]], ignore_index=True), columns)) == 1
+                heads = _heads(pdf, columns)
+                cut = (int(heads[1]) if len(heads) > 1 else len(pdf)) if same else 0
+                if cut:
+                    open_.append(pdf.iloc[:cut])
+                if cut < len(pdf):
+                    yield done(open_)
+                    open_ = []
+                pdf = pdf.iloc[cut:].reset_index(drop=True)
+                if not len(pdf):
+                    continue
+            last = int(_heads(pdf, columns)[-1])
             if last:
-                yield emit(pdf.iloc[:last])
-            rest = pdf.iloc[last:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield emit(rest)
+                yield done([pdf.iloc[:last]])
+            open_ = [pdf.iloc[last:].reset_index(drop=True)]
+        if open_:
+            yield done(open_)
 
     return run
 
 
-def _as_tuples(out) -> pd.DataFrame:
-    n = [len(s[0]) for _, s in out]
-    cols = {c: np.repeat(np.array([k[i] for k, _ in out], dtype=object), n) for i, c in enumerate(KEYS)}
-    cat = [np.concatenate([s[i] for _, s in out]) for i in range(3)]
-    return pd.DataFrame({**cols, "part": np.int64(0), "v": cat[0], "g": cat[1], "d": cat[2]})
+def _compressed(eps: float):
+    """Merged groups -> their tuples, compressed by what ``eps`` permits."""
+
+    def finish(keys: pd.DataFrame, merged: tuple) -> pd.DataFrame:
+        g, v, lo, hi = merged
+        heads = np.searchsorted(g, np.arange(len(keys)))
+        ends = np.append(heads[1:], len(g))
+        keep = np.ones(len(g), dtype=bool)
+        for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
+            if 2 * eps * hi[b - 1] >= 2 and b - a > 2:
+                keep[a:b] = False
+                keep[a + compress(lo[a:b], hi[a:b], 2 * eps * hi[b - 1])] = True
+        out = keys.iloc[g[keep]].reset_index(drop=True)
+        return out.rename(columns={"bucket": "part"}).assign(v=v[keep], lo=lo[keep], hi=hi[keep])[[*KEYS, *_FIELDS]]
+
+    return finish
 
 
-def _as_percentiles(percentiles: tuple[float, ...]):
-    def finish(out) -> pd.DataFrame:
-        rows = []
-        for k, s in out:
-            n = int(s[1].sum())
-            got = [query(*s, q) for q in percentiles]
-            rows.append((*k, n, *(x for x, _ in got), max(o for _, o in got)))
-        return pd.DataFrame(rows, columns=[*KEYS, "n", *(f"p{round(q * 100)}" for q in percentiles), "rank_error"])
+def _as_percentiles(at: tuple[float, ...]):
+    def finish(keys: pd.DataFrame, merged: tuple) -> pd.DataFrame:
+        g, v, lo, hi = merged
+        heads = np.searchsorted(g, np.arange(len(keys)))
+        got = [query(v, lo, hi, heads, q) for q in at]
+        worst = np.max([off for _, off in got], axis=0)
+        return keys.assign(n=hi[np.append(heads[1:], len(g)) - 1], **{f"p{round(q * 100)}": x for q, (x, _) in zip(at, got, strict=True)}, rank_error=worst)
 
     return finish
 
 
-def summaries(values: DataFrame, eps: float = 0.005, fan: int = 16) -> DataFrame:
-    """(g0, g1, g2, metric, part, v, g, d): one mergeable summary per key from ``values`` (g0, g1, g2, metric, value).
+def _parts(summary: DataFrame) -> int:
+    """Parts of the key that has most: each part has one tuple of lo 1."""
+    first = summary.where("lo = 1").groupBy(*KEYS).agg(F.countDistinct("part").alias("n"))
+    return first.agg(F.max("n")).first()[0] or 0
+
+
+def rolled(summary: DataFrame, least: float, most: float, fan: int = FAN) -> DataFrame:
+    """Merge the parts of each key, ``fan`` at a time and level by level, until a key has at most ``fan`` of them.
 
-    Two levels: each task summarizes its blocks with a quarter of ``eps``, then, by key and one of ``fan`` salts, merges
-    and compresses with another quarter; ``percentiles`` does the last merge. A hot key is spread over tasks until only
-    O(fan / eps) tuples of it are left. The rows may be kept and merged with those of other days.
+    Every level compresses by a little more of the error from ``least`` to ``most``, so no task ever holds more than about
+    ``fan`` summaries of one key, however many parts there are.
     """
-    local = values.where("value is not null").mapInPandas(_local(eps / 4), _TUPLES)
-    salted = local.repartition(*KEYS, F.col("part") % fan).sortWithinPartitions(*KEYS, F.col("part") % fan, "part", "v")
-    # a key's salts may meet in one task: the salt takes part in the key while merging
-    keyed = salted.withColumn("metric", F.concat_ws("\x1f", "metric", (F.col("part") % fan).cast("string")))
-    merged = keyed.mapInPandas(_merge_sorted(eps / 4, _as_tuples), _TUPLES)
-    return merged.select("g0", "g1", "g2", F.substring_index("metric", "\x1f", 1).alias("metric"), F.substring_index("metric", "\x1f", -1).cast("bigint").alias("part"), "v", "g", "d")
+    summary = materialize(summary, "summaries")
+    parts = _parts(summary)
+    counts = []
+    while parts > fan:
+        parts = -(-parts // fan)
+        counts.append(parts)
+    for level, buckets in enumerate(counts, 1):
+        bucket = F.pmod(F.xxhash64("part"), F.lit(buckets)) if level == 1 else F.floor(F.col("part") / fan)
+        at = summary.withColumn("bucket", bucket.cast("bigint")).repartition(*KEYS, "bucket").sortWithinPartitions(*KEYS, "bucket", "part", "lo")
+        summary = at.mapInPandas(_by_group([*KEYS, "bucket"], _compressed(least + (most - least) * level / len(counts))), _TUPLES)
+    return materialize(summary, "rolled") if counts else summary
+
+
+def summaries(values: DataFrame, eps: float = EPS, fan: int = FAN) -> DataFrame:
+    """(g0, g1, g2, metric, part, v, lo, hi): mergeable summaries, at most ``fan`` a key, from ``values`` (g0, g1, g2, metric, value).
+
+    Each task summarizes its blocks of values with a quarter of ``eps``; the parts of a key are merged level by level
+    up to three quarters. The rest is left for merging with those of other days or keys. Null values are left out.
+    """
+    return rolled(values.where("value is not null").mapInPandas(_local(eps / 4), _TUPLES), eps / 4, eps * 0.75, fan)
 
 
-def percentiles(summary: DataFrame, at: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+def percentiles(summary: DataFrame, at: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), eps: float = EPS, fan: int = FAN, few: bool = False) -> DataFrame:
     """(keys, n, p50, ..., rank_error): values at ``at`` of merged summaries; rank_error is the proven bound in ranks.
 
-    The value at q is the one of rank ceil(q n). Summaries of several days or runs may be united before; give each its own ``part``.
+    The value at q is the one of rank ceil(q n). Summaries of several days or runs may be united before; give each its own
+    ``part``. few: the summaries are as ``summaries`` gives them, so no key has more than ``fan``. An empty table gives no row.
     """
     fields = "g0 string, g1 string, g2 date, metric string, n bigint, " + ", ".join(f"p{round(q * 100)} double" for q in at) + ", rank_error bigint"
-    s = summary.repartition(*KEYS).sortWithinPartitions(*KEYS, "part", "v")
-    return s.mapInPandas(_merge_sorted(0.0, _as_percentiles(at)), fields)
+    s = (summary if few else rolled(summary, eps * 0.75, eps, fan)).repartition(*KEYS).sortWithinPartitions(*KEYS, "part", "lo")
+    return s.mapInPandas(_by_group(KEYS, _as_percentiles(at)), fields)
 
 
 def readings(runs: DataFrame) -> DataFrame:
@@ -228,3 +257,15 @@ def readings(runs: DataFrame) -> DataFrame:
         ).alias("m"),
     )
     return long.select("g0", "g1", "g2", "m.metric", "m.value").where("value >= 0 and not isnan(value)")
+
+
+def true_ranks(values: DataFrame, found: DataFrame, at: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """(keys, n, rank_error, off): how many ranks the values of ``found`` are off at most, counted over all ``values``."""
+    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"f.{k}")) for k in KEYS]
+    j = values.alias("v").join(found.alias("f"), same[0] & same[1] & same[2] & same[3]).select("f.*", F.col("v.value").alias("value"))
+    names = [f"p{round(q * 100)}" for q in at]
+    counts = [c.alias(f"{p}_{k}") for p in names for k, c in (("below", F.count_if(F.col("value") < F.col(p))), ("upto", F.count_if(F.col("value") <= F.col(p))))]
+    g = j.groupBy(*KEYS, "n", "rank_error").agg(*counts)
+    want = {p: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n") - 1e-9)) for p, q in zip(names, at, strict=True)}
+    off = [F.greatest(F.col(f"{p}_below") + 1 - want[p], want[p] - F.col(f"{p}_upto"), F.lit(0)) for p in names]
+    return g.select(*KEYS, "n", "rank_error", F.greatest(*off).cast("bigint").alias("off"))

@@ -78,14 +78,33 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return _named(quantile.percentiles(quantile.summaries(quantile.readings(table(spark, d, "gen_v3_p2_blind")))))
+    return _named(quantile.percentiles(quantile.summaries(quantile.readings(table(spark, d, "gen_v3_p2_blind"))), few=True))
 
 
-def p6_model_percentiles(spark: SparkSession, d: str) -> DataFrame:
+def _overall(values: DataFrame, eps: float = quantile.EPS) -> DataFrame:
     """Percentiles per model and measure, from the summaries of its types and days."""
-    s = quantile.summaries(quantile.readings(table(spark, d, "gen_v3_p2_blind")))
+    s = quantile.summaries(values, eps)
     one = s.withColumn("part", F.xxhash64("g1", "g2", "part")).withColumn("g1", F.lit("all")).withColumn("g2", F.lit(None).cast("date"))
-    return _named(quantile.percentiles(one)).drop("type", "day")
+    return quantile.percentiles(one, eps=eps)
+
+
+def p6_model_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per model and measure, from the summaries of its types and days."""
+    return _named(_overall(quantile.readings(table(spark, d, "gen_v3_p2_blind")))).drop("type", "day")
+
+
+def p6_model_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The percentiles per model against the true ranks of all readings: is each within its bound, and the bound within eps of the group?"""
+    values = quantile.readings(table(spark, d, "gen_v3_p2_blind"))
+    t = _named(quantile.true_ranks(values.withColumn("g1", F.lit("all")).withColumn("g2", F.lit(None).cast("date")), _overall(values)))
+    return t.select("model", "metric", "n", (F.col("off") <= F.col("rank_error")).alias("within_bound"), (F.col("rank_error") <= quantile.EPS * F.col("n") + 1).alias("bound_within_eps"))
+
+
+def p6_coarse_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all models for an error of 5 %, so that values are left out in small tables too: is there a sketch behind it?"""
+    values = quantile.readings(table(spark, d, "gen_v3_p2_blind")).withColumns({"g0": F.lit("all"), "g1": F.lit("all"), "g2": F.lit(None).cast("date")})
+    t = quantile.true_ranks(values, quantile.percentiles(quantile.summaries(values, 0.05), eps=0.05, few=True))
+    return t.select("metric", "n", (F.col("off") <= F.col("rank_error")).alias("within_bound"), (F.col("rank_error") <= 0.05 * F.col("n") + 1).alias("bound_within_eps"), (F.col("rank_error") > 0).alias("sketched"))
 
 
 def p7_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_rates, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_coverage, p5_report,
-            p6_percentiles, p6_model_percentiles, p7_found, p7_forms, p8_ids, p9_selection, p9_shares, p10_found, p10_scores, p10_rates,
+            p6_percentiles, p6_model_percentiles, p6_model_bounds, p6_coarse_bounds, p7_found, p7_forms, p8_ids, p9_selection, p9_shares, p10_found, p10_scores, p10_rates,
         )
     }
 
@@ -174,4 +193,7 @@ union all select r.model, r.type, cast(r.asked_at as date), 'prompt', cast(r.p a
 union all select r.model, r.type, cast(r.asked_at as date), 'completion', cast(r.c as double) from one),
 k as (select *, row_number() over (partition by model, type, day, metric order by value) as r, count(*) over (partition by model, type, day, metric) as n from v where value >= 0)
 select model, type, day, metric, max(n) as n, {ranked}, cast(0 as bigint) as rank_error from k group by model, type, day, metric"""
-    return {"p3_found": p3, "p4_found": p4, "p5_found": p5, "p6_percentiles": p6}
+    one = p6[: p6.index(",\nk as")]
+    bounds = one + " select model, metric, count(*) as n, true as within_bound, true as bound_within_eps from v where value >= 0 group by model, metric"
+    coarse = one + " select metric, count(*) as n, true as within_bound, true as bound_within_eps, true as sketched from v where value >= 0 group by metric"
+    return {"p3_found": p3, "p4_found": p4, "p5_found": p5, "p6_percentiles": p6, "p6_model_bounds": bounds, "p6_coarse_bounds": coarse}
