@@ -18,17 +18,20 @@ _SAME = (
     ("ıɡɑ", "iga"),
 )
 # Radicals of the supplement block that look the same as a simplified character.
+# Katakana that look the same as a Han character or hiragana.
+_KANA = ("ロニカエタトハヘベペ", "口二力工夕卜八へべぺ")
 _RADICALS = ("⺟⺠⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧⻨⻩⻬⻮⻰⻳⻑⻗⻫⻭⻯⻱", "母民虎西见角贝车长门青韦页风飞食马骨鬼鱼鸟卤麦黄齐齿龙龟長雨斉歯竜亀")
 _WIDE = re.compile("[！-～￠-￦｡-￮]")
 
 
 def _fixed() -> dict[str, str]:
     """Character -> the one it is written as. Only the look counts: superscripts, fractions, ligatures and other compatibility forms stay."""
-    t = {a: b for x, y in (*_SAME, _RADICALS) for a, b in zip(x, y, strict=True)}
+    t = {a: b for x, y in (*_SAME, _KANA, _RADICALS) for a, b in zip(x, y, strict=True)}
     for c in range(0x2F00, 0x2FD6):  # radicals as characters
         t[chr(c)] = unicodedata.normalize("NFKC", chr(c))
     for c in (*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFBF), *range(0xFFE0, 0xFFE7)):  # full and half width
-        t[chr(c)] = unicodedata.normalize("NFKC", chr(c))
+        n = unicodedata.normalize("NFKC", chr(c))
+        t[chr(c)] = t.get(n, n)
     return t
 
 
@@ -53,106 +56,127 @@ def look(c: str) -> str:
 
 def by_table(text: str) -> str:
     """Canonical form by the table alone."""
-    d = unicodedata.normalize("NFD", text)
-    if d.isascii():
-        return _SPACE.sub(" ", "".join(map(look, d)) if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", d) else d)
+    if text.isascii():
+        return _SPACE.sub(" ", "".join(map(look, text)) if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text)
+    return unicodedata.normalize("NFC", seen(text))
+
+
+def seen(text: str) -> str:
+    """What a text looks like, character for character and mark for mark."""
     # a folded character may decompose again (half-width katakana marks, radicals)
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", "".join(map(look, d))))
+    return unicodedata.normalize("NFD", "".join(map(look, unicodedata.normalize("NFD", text))))
 
 
 class Trie:
-    """Vocabulary of words by decomposed characters, walked by a weighted edit automaton."""
+    """Vocabulary of words by what their characters look like, walked by a weighted edit automaton.
+
+    Edges bear looks, so look-alikes read the same edge and ignorables none: both cost 0. Of words of one look the first
+    is the spelling.
+    """
 
     def __init__(self, words: list[str]):
         self.root: dict = {}
         for w in words:
             node = self.root
-            for c in unicodedata.normalize("NFD", w):
+            for c in seen(w):
                 node = node.setdefault(c, {})
-            node[""] = w
+            node.setdefault("", w)
 
-    def find(self, token: str, budget: float = 0.0) -> tuple[str, float] | None:
+    def find(self, token: str, budget: int = 0) -> tuple[str, float] | None:
         """Nearest word within ``budget``; look-alikes and ignorables cost 0, any other substitution, insertion or deletion 1."""
-        d = unicodedata.normalize("NFD", token)
-        states: list[tuple[dict, float]] = [(self.root, 0.0)]
-
-        def close(items: list[tuple[dict, float]]) -> list[tuple[dict, float]]:
-            best: dict[int, tuple[dict, float]] = {}
-            todo = list(items)
-            while todo:
-                node, cost = todo.pop()
-                if cost > budget or (id(node) in best and best[id(node)][1] <= cost):
-                    continue
-                best[id(node)] = (node, cost)
-                todo += [(n, cost if ignorable(c) else cost + 1) for c, n in node.items() if c and (budget >= 1 or ignorable(c))]
-            return list(best.values())
-
-        states = close(states)
-        for c in d:
-            seen, nxt = look(c), []
-            for node, cost in states:
-                if not seen:
-                    nxt.append((node, cost))
-                    continue
-                hit = node.get(c)
-                if hit is not None:
-                    nxt.append((hit, cost))
-                if hit is None or budget >= 1:
-                    nxt += [(n, cost if look(k) == seen else cost + 1) for k, n in node.items() if k and k != c and (budget >= 1 or look(k) == seen)]
-                if budget >= 1:
-                    nxt.append((node, cost + 1))
-            states = close(nxt)
-            if not states:
+        states: dict[int, tuple[dict, int]] = {id(self.root): (self.root, 0)}
+
+        def put(to: dict, node: dict, cost: int) -> None:
+            if cost <= budget and to.get(id(node), (node, budget + 1))[1] > cost:
+                to[id(node)] = (node, cost)
+                for c, child in node.items() if cost < budget else ():
+                    if c:
+                        put(to, child, cost + 1)
+
+        if budget:
+            states = {}
+            put(states, self.root, 0)
+        for c in seen(token):
+            nxt: dict[int, tuple[dict, int]] = {}
+            for node, cost in states.values():
+                if c in node:
+                    put(nxt, node[c], cost)
+                if cost < budget:
+                    put(nxt, node, cost + 1)
+                    for k, child in node.items():
+                        if k and k != c:
+                            put(nxt, child, cost + 1)
+            if not nxt:
                 return None
-        ends = [(n[""], cost) for n, cost in states if "" in n]
+            states = nxt
+        ends = [(n[""], cost) for n, cost in states.values() if "" in n]
         return min(ends, key=lambda x: (x[1], x[0])) if ends else None
 
 
-_MARKS = "̀-ͯ᪰-᫿⃐-⃿"
-_INVISIBLE = "­؜​-‏‪-‮⁠-⁤︀-️﻿͏"
-#: words of alphabets, with the marks and ignorables inside them
-_WORD = re.compile(f"[A-Za-zÀ-ɏͰ-ӿḀ-ỿＡ-Ｚａ-ｚ][A-Za-zÀ-ɏͰ-ӿḀ-ỿＡ-Ｚａ-ｚ{_MARKS}{_INVISIBLE}]*")
+_MARKS = "\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff"
+_LETTER = "A-Za-z\u00c0-\u02af\u0370-\u03ff\u0400-\u052f\u1e00-\u1fff\uff21-\uff3a\uff41-\uff5a"
+_KATAKANA = "\u30a1-\u30fa\u30fc\uff66-\uff9f"
+#: words of alphabets with their marks, and runs of katakana with the Han characters that stand for some of them
+_WORD = re.compile(f"[{_LETTER}][{_LETTER}{_MARKS}]*|[{_KATAKANA}{_KANA[1]}][{_KATAKANA}{_KANA[1]}\u3099\u309a]*")
+_REAL_KANA = re.compile(f"(?![{_KANA[0]}])[{_KATAKANA}]")
+
+
+def _bare(text: str) -> str:
+    """Decomposed, without what takes no place: so a word's look never depends on what is hidden in it."""
+    d = unicodedata.normalize("NFD", text)
+    return d if d.isascii() and d.isprintable() else "".join(c for c in d if not ignorable(c))
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text)
+    return _WORD.findall(_bare(text))
 
 
 def canonical(text: str | None, trie: Trie, memory: dict[str, str] | None = None) -> str | None:
-    """One form for all texts of one look: words that match the vocabulary get its spelling, all else goes by the table. Null stays null."""
+    """One form for all texts of one look: a word that the trie's automaton reads gets the spelling of the vocabulary, all else goes by the table. Null stays null.
+
+    The automaton reads a word only at cost 0, so it and its spelling look the same; as the trie has one spelling per
+    look, words of one look get one form, and a word by table can't meet another look's spelling.
+    """
     if text is None:
         return None
     memory = {} if memory is None else memory
-
-    def spell(m: re.Match) -> str:
+    t = _bare(text)
+    out, at = [], 0
+    for m in _WORD.finditer(t):
         w = m.group(0)
         got = memory.get(w)
         if got is None:
             hit = trie.find(w)
-            got = memory[w] = by_table(hit[0]) if hit else by_table(w)
             if len(memory) > 200_000:
                 memory.clear()
-        return got
-
-    return by_table(_WORD.sub(spell, text)).strip()
+            got = memory[w] = unicodedata.normalize("NFC", hit[0]) if hit else by_table(w)
+        out += [by_table(t[at : m.start()]), got]
+        at = m.end()
+    out.append(by_table(t[at:]))
+    return "".join(out).strip()
 
 
 def clean(word: str) -> bool:
-    """Fit to be a vocabulary spelling: composed, of one alphabet, without ignorables."""
-    return word == unicodedata.normalize("NFC", word) and not any(map(ignorable, word)) and len({unicodedata.name(c, "?").split()[0] for c in word}) == 1 and not _WIDE.search(word)
+    """Fit to be a vocabulary spelling: of one alphabet, not in a form of another width; of katakana, one that has more than the characters of another script's look."""
+    if _WIDE.search(word):
+        return False
+    kinds = {unicodedata.name(c, "?").split()[0] for c in word if not unicodedata.combining(c)} - {"KATAKANA-HIRAGANA"}
+    return kinds == {"KATAKANA"} and bool(_REAL_KANA.search(word)) or len(kinds) == 1 and kinds <= {"LATIN", "GREEK", "CYRILLIC"}
 
 
 def vocabulary(texts: DataFrame, most: int = 20_000, least: int = 3) -> list[str]:
-    """The clean words seen ``least`` times or more, at most the ``most`` frequent ones: a vocabulary of bounded size. Words beyond it go by the table, which gives equal-looking words one form as well."""
+    """Clean words seen ``least`` times or more, of those of one look the most frequent one, in all at most the ``most`` frequent: a vocabulary of bounded size. Words beyond it go by the table, all of one look alike."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             w = pd.Series([w for t in pdf["text"] if t for w in words(t) if len(w) > 1], dtype=object).value_counts()
             w = w[[clean(x) for x in w.index]]
-            yield pd.DataFrame({"word": w.index, "n": w.to_numpy()})
+            yield pd.DataFrame({"word": [unicodedata.normalize("NFC", x) for x in w.index], "seen": [seen(x) for x in w.index], "n": w.to_numpy()})
 
-    counts = texts.select("text").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).toLocalIterator()]
+    counts = texts.select("text").mapInPandas(run, "word string, seen string, n bigint").groupBy("seen", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # of equal counts the smaller spelling
+    best = counts.groupBy("seen").agg(F.max("n").alias("n"), F.min(F.struct(-F.col("n"), "word"))["word"].alias("word"))
+    return [r["word"] for r in best.orderBy(F.desc("n"), "word").limit(most).toLocalIterator()]
 
 
 def canonical_values(values: DataFrame, most: int = 20_000) -> DataFrame:

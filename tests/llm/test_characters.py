@@ -46,10 +46,31 @@ def test_table_form():
 def test_trie_walk():
     t = lookalike.Trie(["Cardéon", "Zürapan", "MMSE"])
     assert t.find("Cаrd​е́οn") == ("Cardéon", 0.0) and t.find("ΜМSΕ") == ("MMSE", 0.0)
-    assert t.find("Cardeon") is None and t.find("Cardeon", 1.0) == ("Cardéon", 1.0) and t.find("MSE", 1.0) == ("MMSE", 1.0) and t.find("MMSEX", 1.0) == ("MMSE", 1.0)
+    assert t.find("Cardeon") is None and t.find("Cardeon", 1) == ("Cardéon", 1) and t.find("MSE", 1) == ("MMSE", 1) and t.find("MMSEX", 1) == ("MMSE", 1)
     assert lookalike.canonical(None, t) is None and lookalike.canonical("服 Cаrdéоn 满", t) == lookalike.canonical("服 Cardéon 满", t)
 
 
+def test_vocabulary_spelling_decides_where_the_table_is_wrong():
+    """Ambiguous looks: the table writes half a word in another alphabet, the vocabulary knows the spelling."""
+    trie, none = lookalike.Trie(["москва", "ロボット", "ШОК", "cop", "сок"]), lookalike.Trie([])
+    for right, others in (("москва", ["мoсква", "моcквa", "м\u200bосква"]), ("ロボット", ["口ボット", "ﾛﾎﾞｯﾄ", "ロボッ卜"]), ("ШОК", ["ШOК", "ШОK"]), ("cop", ["сор", "сop"]), ("сок", ["coк", "сoк"])):
+        for w in [right, *others]:
+            assert lookalike.canonical(f"在 {w}。", trie) == f"在 {right}。", w
+        assert len({lookalike.canonical(w, none) for w in [right, *others]}) == 1
+    assert lookalike.canonical("москва", none) != "москва" and lookalike.canonical("ロボット", none) != "ロボット"
+    assert lookalike.canonical("出口处", trie) == "出口处" and lookalike.canonical("мoсквы", trie) == lookalike.by_table("москвы")
+
+
+def test_letters_of_the_table_are_words():
+    for k, v in lookalike.TABLE.items():
+        assert not (v.isascii() and v.isalpha()) or lookalike.words(k) == [k], k
+
+
+def test_vocabulary_of_frames(spark):
+    rows = [("москва мoсква",)] * 2 + [("москва 口ボット ロボット",)] * 3 + [("出口 AI",)] * 5
+    assert lookalike.vocabulary(spark.createDataFrame(rows, "text string")) == ["AI", "москва", "ロボット"]
+
+
 def test_same_look_pairs(spark):
     rows = [("f1", "用 Cardéon 片", ["甲　乙", None]), ("f2", "用 Cardéοn 片", ["甲 乙"]), ("f3", "用 Cardéon 片", None), ("f4", "用 Cardeon 片", []), ("f5", None, ["丙"]), ("f5", None, ["丙"]), ("f6", "", [""]), (None, "x", ["y"])]
     df = spark.createDataFrame([(*r, "k") for r in rows], "id string, evidence_quote string, must_include array<string>, form string")
