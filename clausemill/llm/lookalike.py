@@ -171,7 +171,7 @@ def vocabulary(texts: DataFrame, most: int = 20_000, least: int = 3) -> list[str
         for pdf in batches:
             w = pd.Series([w for t in pdf["text"] if t for w in words(t) if len(w) > 1], dtype=object).value_counts()
             w = w[[clean(x) for x in w.index]]
-            yield pd.DataFrame({"word": [unicodedata.normalize("NFC", x) for x in w.index], "seen": [seen(x) for x in w.index], "n": w.to_numpy()})
+            yield pd.DataFrame({"word": [unicodedata.normalize("NFC", x) for x in w.index], "seen": [seen(x) for x in w.index], "n": w.to_numpy().astype(int)}).astype({"word": object, "seen": object})
 
     counts = texts.select("text").mapInPandas(run, "word string, seen string, n bigint").groupBy("seen", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     # of equal counts the smaller spelling
