@@ -131,7 +131,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.scored(table(spark, d, "documents"))
+    return abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@ import base64
 import os
 import random
 
+import numpy as np
 import pytest
 
 from clausemill.llm import abuse, bpe, lookalike
@@ -91,7 +92,7 @@ def test_scores():
 
 
 def test_automaton_against_edit_distance():
-    terms = {"等着挨揍了吗": ("x", 1.0, 1), "狗东西": ("x", 1.0, 0)}
+    terms = {"等着挨揍了吗": 1, "狗东西": 0}
     trie = abuse.LexiconTrie(terms)
     rng = random.Random(2)
 
@@ -127,8 +128,50 @@ def test_misspelt_words_and_swaps_in_the_middle():
         assert abuse.score(t)[0] >= abuse.THRESHOLD, t
     for t in ["with regard to the reward", "a walker may wander", "ducking, tucking, pitches, witches", "short shut duck count corn", "fire retardant", "coco clock"]:
         assert abuse.score(t)[0] < abuse.THRESHOLD, (t, abuse.findings(t))
-    for w, (_, _, k) in abuse._terms().items():
+    for w, t in abuse.terms().items():
         cut = len(w) // 2
         turn = w[: cut - 1] + w[cut] + w[cut - 1] + w[cut + 1 :]
-        if k and abuse.condensed(turn) == turn:
+        if t.edits and abuse.condensed(turn) == turn:
             assert abuse.findings(turn), turn
+
+
+# sentences that stand in no table
+UNSEEN = [
+    "恕我直言你就是个大傻叉", "你这个贱货给我滚蛋", "我要弄死你全家", "这些劣等民族都该灭绝", "你就是一坨垃圾东西", "沙比客服", "煞笔玩意儿", "草你妈逼", "王八淡", "想跟你上床吗，骚货", "you are a worthless piece of shit",
+    "I will kill you all", "go kil yourself", "what a fuckking moron", "those people are vermin and should be exterminated", "send nudes now you slut", "your mom is a whore", "s.h.u.t t h e f u c k u p", "去si吧你", "你怎么不去死",
+    "打死你个狗日的", "给老子gun犊子", "全家死绝", "你这臭婊子", "真他马的烦，王八旦", "你们都是群废物", "没长脑子的蠢驴", "禽兽步如的东西", "burn in helll", "让他们断子决孙",
+]
+HARMLESS = [
+    "the cock crowed at dawn", "peacock bass and pussy willow branches", "vermin control is covered by this policy", "不承担2b类责任", "人渣滓", "推荐人见人爱", "请草拟你司合同", "起草你方合同", "去四楼缴费", "白痴呆症状", "害虫防治服务", "谨防骗子",
+    "he quoted the word “moron”, which is forbidden here", "禁止辱骂客服“傻逼”等侮辱性言语", "他骂道“你这个王八蛋”，故投诉称客服被侮辱", "the tumour was killed by radiation", "牛奶子鱼的做法", "养猪场的猪、狗等牲畜",
+]
+
+
+def test_unseen_sentences():
+    found = [abuse.score(t)[0] >= abuse.THRESHOLD for t in UNSEEN]
+    assert sum(found) >= 0.9 * len(UNSEEN), [t for t, f in zip(UNSEEN, found) if not f]
+    for t in HARMLESS:
+        assert abuse.score(t)[0] < abuse.THRESHOLD, (t, abuse.findings(t))
+
+
+def test_edits_and_sounds_decide_rows():
+    """With exact terms alone a good part of these is lost."""
+    exact = 0
+    for t in UNSEEN:
+        f = [x for x in abuse.findings(t) if not x.cost]
+        exact += bool(f) and (abuse.features(f) @ abuse.PRIOR).max() >= 0
+    assert exact <= 0.75 * len(UNSEEN)
+
+
+def test_weights_follow_the_labels():
+    x = np.array([[0, 1, 0, 1, 0, 0]] * 40 + [[1, 0, 0, 1, 0, 1]] * 40, dtype=float)
+    up, down = abuse.fit(x, np.array([1.0] * 40 + [0.0] * 40)), abuse.fit(x, np.array([0.0] * 40 + [1.0] * 40))
+    assert x[0] @ up > x[0] @ abuse.PRIOR > x[0] @ down and x[-1] @ up < x[-1] @ abuse.PRIOR < x[-1] @ down
+    assert (abuse.fit(np.zeros((0, 6)), np.zeros(0)) == abuse.PRIOR).all()
+
+
+def test_scored_with_labels(spark):
+    df = spark.createDataFrame([(1, "s", BAD[0]), (2, None, None), (3, "s", GOOD[4])], "doc_id bigint, source string, text string")
+    labels = spark.createDataFrame([(1, 1, "r"), (1, 0, "r"), (2, 0, "r"), (9, 1, "r"), (None, 1, "r"), (3, None, "r")], "doc_id bigint, unsafe int, labeled_by string")
+    for rated in (labels, labels.limit(0), None):
+        assert [r["doc_id"] for r in abuse.unsafe(abuse.scored(df, rated)).collect()] == [1]
