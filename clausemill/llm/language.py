@@ -6,6 +6,7 @@ Rights, with some plain words); no model file is needed.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -48,16 +49,16 @@ def _script(a: np.ndarray) -> np.ndarray:
     return s
 
 
-def _features(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature of each character with the one before it, and its weight; characters of scripts that tell the language fall back to the script, as their bigrams are too many to know."""
+def _features(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature of each character with the one before it, feature of its script, and its weight (0 for what is no letter)."""
     s = _script(a)
     prev, ps = np.concatenate([[32], a[:-1]]), np.concatenate([[0], s[:-1]])
     prev = np.where(ps > 0, prev, 32)
     h = (a * np.uint64(0x9E3779B1) ^ prev.astype(np.uint64) * np.uint64(0x85EBCA77)).astype(np.uint64)
     h = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
     big = (s >= 2) & (s != 5)
-    f = np.where(big, (1 << _BITS) + s, h)
-    return np.where(s > 0, f, (1 << _BITS) + 8), np.where(s > 0, np.where((s >= 2) & (s <= 4), CJK_WEIGHT, 1.0), 0.0).astype(np.float32)
+    weight = np.where(s > 0, np.where((s >= 2) & (s <= 4), CJK_WEIGHT, 1.0), 0.0).astype(np.float32)
+    return np.where(s > 0, h, 0), np.where(big, (1 << _BITS) + s, 0), weight
 
 
 def _codes(text: str) -> np.ndarray:
@@ -66,19 +67,35 @@ def _codes(text: str) -> np.ndarray:
 
 @lru_cache(1)
 def _table() -> np.ndarray:
-    """Log likelihood of each feature in each language, floored so that one odd bigram decides nothing."""
+    """Log likelihood of each feature in each language, floored so that one odd bigram decides nothing.
+
+    A script of thousands of characters has more bigrams than a seed text can show: there the script counts, and with it
+    those bigrams that some seed text has. Elsewhere the bigram counts alone.
+    """
     n = (1 << _BITS) + 16
     t = np.zeros((n, len(LANGS)), dtype=np.float64)
-    scripts = np.zeros((8, len(LANGS)))
+    large = np.zeros(n, dtype=bool)
     for k, text in enumerate(SEEDS.values()):
-        a = _codes(text)
-        f, w = _features(a)
-        t[:, k] = np.bincount(f[w > 0], minlength=n)[:n]
-        scripts[:, k] = np.bincount(_script(a), minlength=8)
+        h, f, w = _features(_codes(text))
+        t[:, k] = np.bincount(h[w > 0], minlength=n)[:n] + np.bincount(f[f > 0], minlength=n)[:n]
+        large[h[f > 0]] = True
+    none = t.sum(1) == 0
     t = np.log((t + 0.05) / (t.sum(0) + 0.05 * 900))
     t -= t.max(1, keepdims=True)
     t = np.maximum(t, -4.0)
-    return t.astype(np.float32)
+    t[large] = np.maximum(t[large], -1.0)  # beside its script
+    t[0] = 0.0
+    return np.where(none[:, None] & (np.arange(n) >= 1 << _BITS)[:, None], 0.0, t).astype(np.float32)
+
+
+@lru_cache(1)
+def _known() -> np.ndarray:
+    """Bigrams that some seed text has."""
+    k = np.zeros((1 << _BITS) + 16, dtype=bool)
+    for text in SEEDS.values():
+        h, _, w = _features(_codes(text))
+        k[h[w > 0]] = True
+    return k
 
 
 def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +110,10 @@ def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             to += 1
         part = [t.lower() + "\n" for t in texts[at:to]]
         a = _codes("".join(part))
-        f, w = _features(a)
+        h, f, w = _features(a)
         starts = np.cumsum([0] + [len(p) for p in part[:-1]])
-        out[at:to] = np.add.reduceat(table[f] * w[:, None], starts, axis=0)
+        known = np.where((f > 0) & ~_known()[h], 0, h)  # of a large script only bigrams of the seeds
+        out[at:to] = np.add.reduceat((table[known] + table[f]) * w[:, None], starts, axis=0)
         weight[at:to] = np.add.reduceat(w, starts)
         at = to
     return out, weight
@@ -105,10 +123,30 @@ def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 MARGIN = 0.15
 
 
-def differs(expected: np.ndarray, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Is the main language of texts with sums ``s`` clearly not the ``expected`` one?"""
-    own = s[np.arange(len(s)), expected]
-    return (s.max(1) - own) > MARGIN * np.maximum(weight, 1.0)
+#: log odds by which the answer must speak against every language that the question may be in, and posterior from which it may
+SURE, MAYBE = 5.0, 0.02
+# What is of no language: codes, abbreviations, numbers with their units.
+_CODE = re.compile(r"(?<![A-Za-z])(?:[A-Z]{1,6}(?![a-z])|[A-Za-z]*\d[\w.\-/%]*|mg|kg|cm|mm|ml)(?![A-Za-z])", re.ASCII)
+
+
+def posterior(s: np.ndarray) -> np.ndarray:
+    """Posteriors from log posterior sums."""
+    p = np.exp(s - s.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def other_language(questions: list[str], answers: list[str]) -> np.ndarray:
+    """Which answers are not in the language of their question: the posteriors of both sides, whatever their length.
+
+    The answer's main language must beat each language that the question may be in by a margin per letter and by odds that a
+    few letters can't give; a question without letters may be in any language. Codes and numbers are in none.
+    """
+    if not questions:
+        return np.zeros(0, dtype=bool)
+    (sq, _), (sa, wa) = scores([_CODE.sub(" ", t) for t in questions]), scores([_CODE.sub(" ", t) for t in answers])
+    own = np.where(posterior(sq) >= MAYBE, sa, -np.inf).max(1)
+    lead = sa.max(1) - own
+    return lead > np.maximum(MARGIN * wa, SURE)
 
 
 def languages(texts: list[str], least: float = 4.0) -> list[str | None]:

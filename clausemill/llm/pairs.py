@@ -11,29 +11,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import endmodel
-from .language import LANGS, differs, scores
+from . import endmodel, refusal
+from .language import LANGS, other_language
 
 DEFECTS = ("empty", "copied", "refusal", "other_language", "truncated")
 _CITE = re.compile(r"\s*\[C\d+\]")
 _LABEL = re.compile(r"^\s*(?:答复?|回答|回复|问题?|您?的?问题是|您的问题是|您问的是|关于|Q|A|Question|Answer|You asked)\s*(?:[：:]\s*|(?=[“\"]))", re.I)
 _NOTHING = {"", "null", "none", "na", "nan", "nil", "无", "空", "暂无", "没有", "undefined", "empty", "略", "待补充", "答", "answer"}
-_SENTENCE = re.compile(r"[。！？!?\n]+|(?<=[a-z])\.(?:\s+|$)")
-# Phrases of a reply that declines. They stand for "cannot/will not" + "answer/judge/help", or send the asker elsewhere.
-_DECLINE = re.compile(
-    r"(?:无法|不能|不便|难以|恕不?|不予|无从|没法|未能|给不了|提供不了)(?:够|就此|对此|为您|代为|确切)?.{0,5}?(?:回答|作答|答复|解答|判断|确定|给出|提供|下结论|结论|定论|确认|说明|答案|意见)"
-    r"|不(?:下|作|做|予)(?:任何)?(?:结论|判断|回答|作答|答复|解答|评论)|作不了答|不足以(?:作答|回答|判断|得出)|没有足够|信息不足|证据不够|找不到(?:任何)?依据|没有覆盖|说不知道|我不知道|不清楚，?建议"
-    r"|超出(?:了)?(?:我|本|系统).{0,8}范围|帮不上忙|(?:请|建议)(?:您)?(?:咨询|致电|联系|转)(?:人工|客服|服务热线|专业)|请咨询人工|不在检索结果|未检索到|没有相关约定|不提供(?:该|此|这)类"
-    r"|(?:can(?:no|')t|unable|not able|won't|could not|couldn't)\b.{0,25}\b(?:answer|help|advise|provide|say|determine|assist|respond|tell)|(?:falls|is) outside what i can|nothing in the (?:supplied|given|provided)|ask a human agent|i(?:'m| am) sorry|(?:do(?:es)?n't|do(?:es)? not) (?:have|contain|provide|offer) (?:enough|sufficient)|no (?:conclusion|answer) can be (?:drawn|given)|insufficient information",
-    re.I,
-)
-# What a declining reply gives as its reason.
-_REASON = re.compile(r"条款目录提到.*正文未|片段只列出.*没有给出|材料只谈到.*(?:与所问无关|$)|缺少.*(?:约定|内容|信息)|没有涉及.*内容|均与问题无关|与所问无关$")
-_STRIP = re.compile(r"[\W_]+")
+#: so many letters and digits are more than any label with a word for nothing has
+_MUCH = re.compile(r"(?:[\W_]*[^\W_]){48}")
+
+
+class _Plain(dict):
+    """Character -> its letters and digits in compatibility form, without case and marks; worked out once."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = "".join(x for x in unicodedata.normalize("NFKD", chr(c)).casefold() if x.isalnum())
+        return self[c]
+
+
+_PLAIN = _Plain()
 
 
 def _plain(text: str) -> str:
-    return _STRIP.sub("", unicodedata.normalize("NFKC", text)).casefold()
+    return text.translate(_PLAIN)
 
 
 def says_nothing(text: str | None) -> bool:
@@ -41,7 +42,7 @@ def says_nothing(text: str | None) -> bool:
     if text is None:
         return True
     t = _CITE.sub("", endmodel.unwrap(text)[0])
-    return _plain(_LABEL.sub("", t, count=1)) in _NOTHING
+    return not _MUCH.match(t) and _plain(_LABEL.sub("", t, count=1)) in _NOTHING
 
 
 def copies(question: str | None, answer: str) -> bool:
@@ -61,64 +62,47 @@ def copies(question: str | None, answer: str) -> bool:
     return len(x & y) >= 0.7 * len(x | y)
 
 
-def declines(answer: str) -> bool:
-    """As a whole: at least one sentence declines and no sentence says anything else but a reason for that."""
-    t = _CITE.sub("", endmodel.unwrap(answer)[0])
-    if not _DECLINE.search(t):
-        return False
-    for s in _SENTENCE.split(_LABEL.sub("", t, count=1)):
-        if len(_plain(s)) > 1 and not _DECLINE.search(s) and not _REASON.search(s):
-            return False
-    return True
+def _reply(answer: str) -> str:
+    """What an answer says: unwrapped, without citations and label."""
+    return _LABEL.sub("", _CITE.sub("", endmodel.unwrap(answer)[0]), count=1)
 
 
-def _find(model: dict[int, np.ndarray]):
+def _find(model: dict[int, np.ndarray], refusals: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, defects = [], []
-            rest: list[tuple[str, str, str]] = []
-            for i, q, a in zip(pdf["id"], pdf["question"], pdf["answer"], strict=True):
-                kind = None
-                if says_nothing(a):
-                    kind = "empty"
-                elif copies(q, a):
-                    kind = "copied"
-                elif declines(a):
-                    kind = "refusal"
-                if kind:
-                    ids.append(i)
-                    defects.append(kind)
-                else:
-                    rest.append((i, q or "", a))
-            if rest:
-                sq, wq = scores([q for _, q, _ in rest])
-                sa, wa = scores([_CITE.sub("", endmodel.unwrap(a)[0]) for _, _, a in rest])
-                other = differs(sq.argmax(1), sa, wa) & (wq >= 12) & (wa >= 9)
-                for (i, _, a), o in zip(rest, other, strict=True):
-                    if o:
-                        ids.append(i)
-                        defects.append("other_language")
-                    elif endmodel.breaks_off(model, a):
-                        ids.append(i)
-                        defects.append("truncated")
-            yield pd.DataFrame({"id": ids, "defect": defects}, dtype=object)
+            ids, qs, answers = pdf["id"].tolist(), pdf["question"].tolist(), pdf["answer"].tolist()
+            kinds = ["empty" if says_nothing(a) else "copied" if copies(q, a) else None for q, a in zip(qs, answers, strict=True)]
+            # the rest is judged for the whole batch at once, one question after the other
+            rest = [i for i, k in enumerate(kinds) if k is None]
+            replies = [_reply(answers[i]) for i in rest]
+            told = {
+                "refusal": refusal.declining(refusals, replies),
+                "other_language": other_language([qs[i] or "" for i in rest], replies),
+                "truncated": endmodel.break_off(model, [answers[i] for i in rest]),
+            }
+            for n, i in enumerate(rest):
+                kinds[i] = next((k for k, is_ in told.items() if is_[n]), None)
+            yield pd.DataFrame([(i, k) for i, k in zip(ids, kinds, strict=True) if k], columns=["id", "defect"], dtype=object)
 
     return run
 
 
-def broken_pairs(pairs: DataFrame, id_col: str = "id", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
+def broken_pairs(pairs: DataFrame, id_col: str = "id", question_col: str = "question", answer_col: str = "answer", refused_col: str = "refused") -> DataFrame:
     """(id, defect): one row per id whose answer is no usable reply to its question.
 
     Two passes over the texts, neither of which shuffles them: one counts sentence ends (see ``endmodel``), one
-    judges each pair: ``empty``, ``copied``, ``refusal``, then the languages by the naive Bayes posteriors of both sides,
-    then ``truncated`` by end-of-text likelihood. Only the defective ids are shuffled, to count each once.
+    judges each pair: ``empty``, ``copied``, ``refusal`` by phrases and a score fitted on a bounded sample of the refusal flags
+    (see ``refusal``; without such a column on general sentences alone), then the languages by the naive Bayes posteriors
+    of both sides, then ``truncated`` by end-of-text likelihood. Only the defective ids are shuffled, to count each once.
     Null answers are ``empty``; a null or very short question has no language and nothing to copy; rows with a null id
     are no cases; repeated rows count once; an empty table gives no row. Other columns are never read.
     """
     p = pairs.select(F.col(id_col).cast("string").alias("id"), F.col(question_col).alias("question"), F.col(answer_col).alias("answer")).where("id is not null")
     model = endmodel.fit(p.select(F.col("answer").alias("text")))
-    found = p.mapInPandas(_find(model), "id string, defect string")
+    flags = pairs.select(F.col(id_col).cast("string").alias("id"), F.col(answer_col).alias("answer"), F.col(refused_col).alias("refused")) if refused_col in pairs.columns else None
+    refusals = refusal.fit(flags) if flags is not None else refusal.train([], [])
+    found = p.mapInPandas(_find(model, refusals), "id string, defect string")
     return found.groupBy("id").agg(F.min("defect").alias("defect"))
 
 
-__all__ = ["DEFECTS", "LANGS", "broken_pairs", "copies", "declines", "says_nothing"]
+__all__ = ["DEFECTS", "LANGS", "broken_pairs", "copies", "says_nothing"]

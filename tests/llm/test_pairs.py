@@ -1,7 +1,9 @@
 import dataclasses
 import random
 
-from clausemill.llm import endmodel, pairs, truncation
+import numpy as np
+
+from clausemill.llm import endmodel, pairs, refusal, truncation
 from clausemill.llm.language import languages
 
 SENTENCES = ["等待期为90日，等待期内确诊的，退还已交保险费，合同终止", "投保人可以变更受益人，但须经被保险人书面同意", "复效后重新计算30日的观察期，意外伤害不受此限", "保单贷款最高不超过现金价值净额的50%，每次期限为6个月"]
@@ -28,6 +30,10 @@ def test_defects(spark):
         "n1": (q, SENTENCES[0] + "。", None), "n2": (q, SENTENCES[2] + "[C1]", None), "n3": (q, "90日", None), "n4": (q, f"{q}{SENTENCES[0]}。", None),
         "n8": ("How long is the waiting period of plan B4?", "Two diagnoses must lie at least 29 days apart.", None), "r4": ("How long is the waiting period?", "The passages do not contain enough information, so no conclusion can be drawn.", "refusal"),
         "o4": (q, "根据条款，請求には診断書と領収書の提出が必要です。", "other_language"), "o5": (q, "조항 5.3.1에 따라 보험금의 6퍼센트를 지급합니다.", "other_language"),
+        # nothing depends on how long a text is
+        "e7": (q, "答：" + " " * 250, "empty"), "e8": (q, "答：" + " " * 50, "empty"), "e9": (q, "[C1]" * 80, "empty"), "c5": (q, q * 3, "copied"), "c6": (q, q * 9, "copied"),
+        "o6": (q, "It is ninety days.", "other_language"), "o7": ("多久？", "El plazo es de noventa días.", "other_language"), "n9": (q, "MMSE", None), "n10": (q, "CT、MRI", None), "n11": ("?", "It is 90 days.", None),
+        "n12": (q, SENTENCES[1] + "，经办人签字后即生效力", None), "t4": (q, SENTENCES[1] + "。另外，" + SENTENCES[3][:13] + "以及", "truncated"),
         "n5": (q, SENTENCES[0] + "，因此无法回溯计算等待期。", None), "n6": (q, "等待期为90日，原文术语为“waiting period”。" + SENTENCES[1] + "。", None), "n7": (None, SENTENCES[1] + "。", None),
     }
     rows = [(k, q_, a) for k, (q_, a, _) in cases.items()] + [("e1", q, None)] + [(None, q, None)] + [(f"x{i}", q, t) for i, t in enumerate(corpus())]
@@ -72,7 +78,8 @@ def test_end_shares():
     for pdf in endmodel._count(iter([pd.DataFrame({"text": texts})])):
         for r in pdf.itertuples():
             model[r.n][:, r.chunk * endmodel.CHUNK : (r.chunk + 1) * endmodel.CHUNK] += np.frombuffer(r.counts, dtype="<i8").reshape(2, -1)
-    assert endmodel.end_share(model, "须经被保险人书面同意") > 0.9 and endmodel.end_share(model, "须经被保险人") < 0.1
+    high, low = endmodel.end_shares(model, ["须经被保险人书面同意", "须经被保险人"], [0, 0])
+    assert high > 0.9 and low < 0.1
 
 
 def test_language_posteriors():
@@ -99,3 +106,31 @@ def test_long_copies_and_long_nothing():
     q = "等待期内确诊的，是否退还已交保险费？"
     assert pairs.copies(q, q * 5) and not pairs.copies(q, q + "退还已交保险费，合同终止。" * 9)
     assert pairs.says_nothing("回答：" + " " * 300) and pairs.says_nothing("回答：" + "[C1]" * 80) and not pairs.says_nothing("回答：" + " " * 300 + "退还")
+
+
+def test_refusals_in_other_words(spark):
+    ten = ["恕难奉告", "I can't comply with that request.", "As an AI language model, I do not have an opinion.", "这个我真的不清楚，您问问别人吧。", "抱歉，此事不便评论。", "I'm afraid I can't discuss that.", "无法作答", "资料里查不到这一点，无从回答。", "Sorry, no information available.", "这超出我的职责范围，恕不回复。"]
+    tells = ["等待期为90日。", "不能中途解除合同。", "You cannot change it.", "无法提供原件的可用复印件。", "不赔", "We don't cover dental.", "客服电话是95500，可随时咨询。", "等待期为90日。其余部分无法回答。"]
+    model = refusal.train([], [])
+    assert refusal.declining(model, ten).all() and not refusal.declining(model, [*tells, ""]).any()
+
+
+def test_flags_teach_what_goes_with_declining():
+    said, told = "手头的段落只谈到别的事。", "等待期为九十日。"
+    answers = [f"无法回答。{said}"] * 60 + [told * 3] * 300
+    flags = [i % 10 > 0 for i in range(60)] + [i % 25 == 0 for i in range(300)]
+    taught, fresh = refusal.train(answers, flags), refusal.train([], [])
+    assert refusal.declining(taught, [f"不能作答。{said}"]).all() and not refusal.declining(taught, [f"不能作答。{told}"]).any()
+    assert refusal.scores(taught, [said])[0] > refusal.scores(fresh, [said])[0]
+
+
+def test_contexts_over_a_full_table():
+    """What is no more than the load of its table is unknown, and shorter contexts are asked."""
+    model = {n: np.zeros((2, 1 << b), dtype=np.int32) for n, b in endmodel.ORDERS.items()}
+    for n in model:
+        model[n][0] += 40
+    for n in (1, 2):
+        model[n][1] += 20
+    full = model | {-n: np.array([40.0, 0.0]) for n in (8, 5, 3)}
+    text = "合同自次日零时起中止期间"
+    assert endmodel.end_shares(model, [text], [0])[0] == 0.0 and endmodel.end_shares(full, [text], [0])[0] == 0.5
