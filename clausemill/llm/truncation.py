@@ -3,86 +3,202 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from . import endmodel
-from .blocks import alike, facing
-from .components import components
-from .near import Banding, classes, links, signed
+from .blocks import facing
+from .dart import mix
+from .near import classes
+from .textnorm import codes
 
-#: five-character shingles, similarity 0.8: what is a near copy of a text that lost its end
-NEAR = Banding(n=5, b=32, r=8, least=0.8, sketch_bits=92)
 
+@dataclass(frozen=True)
+class Prefixes:
+    """What a text that lost its end has in common with its copy is the copy's beginning, however much is lost.
 
-def ends_early(short: str, long: str, tail: int = 8) -> int | None:
-    """Where in ``long`` the alignment with ``short`` ends, if ``long`` goes on there; None if it doesn't or they don't align at the end."""
-    t = short.rstrip("�… ")
-    t = t[-tail:]
-    if len(t) < tail:
+    Every text is signed at prefixes of ``first`` shingles of n characters and on by ``ratio``: b bands of r min-hashes each. least:
+    similarity, by edits, of a cut text to the beginning of its copy.
+    """
+
+    n: int = 5
+    first: int = 24
+    ratio: float = 1.5
+    b: int = 4
+    r: int = 3
+    least: float = 0.8
+
+    def lengths(self, shingles: int) -> list[int]:
+        out, x = [], self.first
+        while x <= shingles:
+            out.append(x)
+            x = int(np.ceil(x * self.ratio))
+        return out
+
+
+def prefix_bands(texts: list[str], how: Prefixes) -> list[np.ndarray]:
+    """Per text (prefixes, b) band keys: min-hashes of every prefix come from one running minimum."""
+    k = how.b * how.r
+    seeds = mix(np.arange(1, k + 1, dtype=np.uint64))
+    base, sizes = [], []
+    for t in texts:
+        a = codes(t).astype(np.uint64)
+        m = max(0, len(a) - how.n + 1)
+        h = np.zeros(m, dtype=np.uint64)
+        for j in range(how.n):
+            h = mix((h + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15) ^ a[j : m + j])
+        base.append(h)
+        sizes.append(m)
+    at = np.cumsum([0, *sizes])
+    hashed = mix(np.concatenate(base)[None, :] ^ seeds[:, None])
+    out = []
+    for i, m in enumerate(sizes):
+        marks = how.lengths(m)
+        if not marks:
+            out.append(np.zeros((0, how.b), dtype=np.int64))
+            continue
+        low = np.minimum.accumulate(hashed[:, at[i] : at[i + 1]], axis=1)[:, np.array(marks) - 1].T.reshape(len(marks), how.b, how.r)
+        key = mix(np.array(marks, dtype=np.uint64))[:, None] + mix(np.arange(1, how.b + 1, dtype=np.uint64))[None, :]
+        for c in range(how.r):
+            key = mix(key ^ low[:, :, c]) * np.uint64(0x9E3779B97F4A7C15)
+        out.append(key.view(np.int64))
+    return out
+
+
+def ends_at(short: str, long: str, least: float) -> int | None:
+    """Where in ``long`` the best alignment of all of ``short`` with its beginning ends; None if they are less alike than ``least``.
+
+    Edit distances to every beginning of ``long`` in a band around the length of ``short``, by bit-parallel columns.
+    """
+    m = len(short)
+    if long.startswith(short):
+        return m
+    most = int((1 - least) * m + 1e-9)
+    n = min(len(long), m + most)
+    if n < m - most:
         return None
-    guess = len(short)
-    best = None
-    at = long.find(t)
-    while at >= 0:
-        if best is None or abs(at + tail - guess) < abs(best - guess):
-            best = at + tail
-        at = long.find(t, at + 1)
-    if best is None or abs(best - guess) > max(12, guess // 5) or best >= len(long) - 2:
+    peq: dict[str, int] = {}
+    for i, c in enumerate(short):
+        peq[c] = peq.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, d = full, 0, m
+    best, at = m, 0
+    for j in range(n):
+        eq = peq.get(long[j], 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | (~(xh | pv) & full), pv & xh
+        d += bool(ph & top) - bool(mh & top)
+        # the beginning of long is fixed: a row more costs one
+        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
+        pv, mv = mh | (~(xv | ph) & full), ph & xv
+        if d < best or (d == best and abs(j + 1 - m) < abs(at - m)):
+            best, at = d, j + 1
+    return at if best <= most else None
+
+
+#: damage at the end of a text that is no part of it
+_DAMAGE = "\ufffd… "
+
+
+def cut_against(short: str, long: str, least: float) -> bool | None:
+    """Does ``short`` end inside a clause of its copy ``long``? False: it ends where a sentence of it does; None: not comparable, or the copy has a mark there that tells nothing."""
+    s = short.rstrip(_DAMAGE)
+    at = ends_at(s, long, least)
+    if at is None or at >= len(long):
         return None
-    return best
-
-
-#: what a text that isn't cut ends with, and what no cut stands before
-WHOLE, BEFORE = "。！？!?.}`", "。！？!?.；;\n[\""
+    if not (s[-4:] and s[-2:] in long[max(0, at - 6) : at + 2]):
+        return None  # what is aligned at the end isn't the same there
+    here, before = long[at], long[at - 1]
+    if here in "。！？!?；;\n" or before in "。！？!?；;\n":
+        return False
+    return True if here.isalnum() and before.isalnum() else None
 
 
 def _by_copy(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for xr, xt, xs, yr, yt, ys in zip(*(pdf[c] for c in ("x_rid", "x_toks", "x_norm", "y_rid", "y_toks", "y_norm")), strict=True):
-                near, cut = alike(xt, yt, least), []
-                for i, (rid, short) in enumerate(zip(xr, xs, strict=True)):
-                    for j in np.nonzero(near[i])[0]:
-                        long = ys[j]
-                        if (len(short), rid) < (len(long), yr[j]):
-                            at = ends_early(short, long)
-                            if at is not None and long[at] not in BEFORE:
-                                cut.append(rid)
+            rids, told = [], []
+            for xr, xs, yr, ys in zip(*(pdf[c] for c in ("x_rid", "x_norm", "y_rid", "y_norm")), strict=True):
+                longs = sorted(zip((len(t) for t in ys), yr, ys, strict=True))
+                for rid, short in zip(xr, xs, strict=True):
+                    said = None
+                    for n, other, long in longs:
+                        if n > len(short) and other != rid:
+                            got = cut_against(short, long, least)
+                            said = said if got is None else bool(got) or bool(said)
+                            if got:
                                 break
-                yield pd.DataFrame({"rid": np.array(cut, dtype=np.int64)})
+                    if said is not None:
+                        rids.append(rid)
+                        told.append(said)
+            yield pd.DataFrame({"rid": np.array(rids, dtype=np.int64), "cut": np.array(told, dtype=bool)})
 
     return run
 
 
 def _text(t: str | None) -> str:
-    return (t or "").strip()
+    return (endmodel.unwrap(t)[0] if t else "").strip()
+
+
+def _signed(how: Prefixes):
+    """(rid, norm) -> (rid, key, cut): keys of all prefixes, and of a text that may have lost its end the last ones again, as cut."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rids, texts, at = pdf["rid"].to_numpy(), pdf["norm"].tolist(), 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) < 100_000):
+                    size += len(texts[to])
+                    to += 1
+                bands = prefix_bands(texts[at:to], how)
+                open_ = np.array([endmodel.by_form(t)[0] is not False for t in texts[at:to]])
+                n = np.array([b.size for b in bands])
+                last = [b[-1] for b, o in zip(bands, open_, strict=True) if o and len(b)]
+                lone = rids[at:to][open_ & (n > 0)]
+                yield pd.DataFrame(
+                    {
+                        "rid": np.concatenate([np.repeat(rids[at:to], n), np.repeat(lone, how.b)]),
+                        "key": np.concatenate([b.ravel() for b in bands] + last),
+                        "cut": np.repeat([False, True], [n.sum(), how.b * len(lone)]),
+                    }
+                )
+                at = to
+
+    return run
 
 
-def cut_by_copy(texts: DataFrame, how: Banding = NEAR) -> DataFrame:
-    """(id): texts of which a verified near copy goes on where they end. texts: (id bigint, text).
+def cut_by_copy(texts: DataFrame, how: Prefixes = Prefixes()) -> DataFrame:
+    """(id, cut) of the texts (id bigint, text) that have a longer verified near copy to compare with.
 
-    Each text without an end is compared with all of its group of near copies, in blocks; only what was found leaves a task.
+    cut is true if some copy goes on inside a clause where the text ends, false if copies only tell that a sentence ends there. A
+    text without a closing mark meets every text that has a prefix like it, whatever that lost or has more; pairs are
+    compared in blocks, so a beginning that very many texts share is no single task's work, and none of them is left out.
     """
     member = materialize(classes(texts, _text).groupBy("id").agg(F.min("norm").alias("norm")), "member")
     reps = materialize(member.groupBy("norm").agg(F.min("id").alias("rid")), "reps")
-    sigs = materialize(signed(reps.select("rid", "norm"), how), "signed")
-    label = components(links(sigs, how).select("a", "b").distinct())
-    at = materialize(sigs.select("rid", "toks").join(label.withColumnRenamed("node", "rid"), "rid").join(reps, "rid"), "grouped")
-    open_ = at.where(~F.substring("norm", -1, 1).isin(list(WHOLE)))
-    cut = facing(open_, at, "component", 256).mapInPandas(_by_copy(how.least), "rid bigint").distinct()
-    return cut.join(reps, "rid").select("norm").join(member, "norm").select("id")
+    keys = materialize(spread(reps.select("rid", "norm"), "rid").mapInPandas(_signed(how), "rid bigint, key bigint, cut boolean"), "keys")
+    cut = keys.where("cut").select("key", "rid")
+    # a prefix that no other text has finds nothing; of the rest only those of a cut text matter
+    wanted = cut.select("key").distinct()
+    whole = keys.where("not cut").select("key", "rid").join(wanted, "key", "left_semi")
+    shared = materialize(whole.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    left = cut.join(shared, "key", "left_semi").join(reps, "rid").select("key", "rid", "norm")
+    right = whole.join(shared, "key", "left_semi").join(reps, "rid").select("key", "rid", "norm")
+    found = facing(left, right, "key", 256).mapInPandas(_by_copy(how.least), "rid bigint, cut boolean").groupBy("rid").agg(F.bool_or("cut").alias("cut"))
+    return materialize(found.join(reps, "rid").select("norm", "cut").join(member, "norm").select("id", "cut"), "bycopy")
 
 
 def _by_end(model: dict[int, np.ndarray]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [endmodel.breaks_off(model, t) for t in pdf["text"]]
-            yield pdf.loc[keep, ["id"]]
+            yield pdf.loc[endmodel.break_off(model, pdf["text"].tolist()), ["id"]]
 
     return run
 
@@ -90,18 +206,19 @@ def _by_end(model: dict[int, np.ndarray]):
 def truncated(records: DataFrame, id_col: str = "id", text_col: str = "answer") -> DataFrame:
     """(id): records whose text breaks off inside a sentence or word.
 
-    A record is cut if a verified near copy (min-hash banding over five-character shingles, then alignment) goes on where
-    it ends, inside a sentence; records without such a copy are scored by the terminality of their last characters (see
-    ``endmodel``), so the finish flag isn't needed. Null ids, null and empty texts are no cases; texts of which several
-    rows exist count once per id; an empty table gives no row; other columns are never read.
+    Records with a verified near copy that is longer (min-hash banding of prefixes over five-character shingles, then
+    alignment) are cut if that goes on inside a clause where they end, and whole if a sentence ends there; all others are
+    scored by the terminality of their last words (see ``endmodel``), so the finish flag isn't needed. Null ids, null
+    and empty texts are no cases; texts of which several rows exist count once per id; an empty table gives no row; other
+    columns are never read.
     """
     r = records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     model = endmodel.fit(r.select("text"))
-    ended = r.mapInPandas(_by_end(model), "id string")
-    keyed = r.select(F.xxhash64("id", "text").alias("id"), "text")
-    copied = cut_by_copy(keyed)
-    by_copy = r.withColumn("n", F.xxhash64("id", "text")).join(copied.withColumnRenamed("id", "n"), "n", "left_semi").select("id")
-    return ended.union(by_copy).distinct()
+    keyed = r.withColumn("n", F.xxhash64("id", "text"))
+    copied = cut_by_copy(keyed.select(F.col("n").alias("id"), "text")).withColumnRenamed("id", "n")
+    matched = keyed.join(copied, "n", "left")
+    by_end = matched.where("cut is null").select("id", "text").mapInPandas(_by_end(model), "id string")
+    return by_end.union(matched.where("cut").select("id")).distinct()
 
 
 def truncation_rates(records: DataFrame, cut: DataFrame, source_col: str = "model") -> DataFrame:

@@ -1,4 +1,3 @@
-import dataclasses
 import random
 
 import numpy as np
@@ -57,15 +56,65 @@ def test_truncated_copy_and_rates(spark):
     cut = truncation.truncated(df)
     assert [r["id"] for r in cut.collect()] == ["b"]
     keyed = df.selectExpr("xxhash64(id) as id", "answer as text")
-    assert truncation.cut_by_copy(keyed).count() == 1
+    assert truncation.cut_by_copy(keyed).where("cut").count() == 1
     rates = {r["source"]: (r["records"], r["truncated"]) for r in truncation.truncation_rates(df, cut).collect()}
     assert rates["m"] == (122, 1) and rates["n"] == (3, 0) and rates[None] == (1, 0)
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def distances(a, b):
+    """Edit distance of a to every beginning of b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row
+
+
 def test_alignment_end():
-    assert truncation.ends_early("甲乙丙丁戊己庚辛壬癸", "甲乙丙丁戊己庚辛壬癸子丑寅卯") == 10
-    assert truncation.ends_early("甲乙丙丁戊己庚辛壬癸", "甲乙丙丁戊己庚辛壬癸") is None
+    rng = random.Random(4)
+    for _ in range(300):
+        long = "".join(rng.choice("甲乙丙丁") for _ in range(rng.randint(5, 40)))
+        short = list(long[: rng.randint(3, len(long))])
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(short))
+            short[k : k + rng.randint(0, 1)] = rng.choice(("", "戊", "甲"))
+        short = "".join(short) or "甲"
+        most = int(0.2 * len(short))
+        row = distances(short, long)[: len(short) + most + 1]
+        got = truncation.ends_at(short, long, 0.8)
+        assert (got is not None) == (min(row) <= most), (short, long)
+        if got is not None and not long.startswith(short):
+            assert row[got] == min(row)
+
+
+def test_against_a_copy():
+    whole = SENTENCES[0] + "。" + SENTENCES[1] + "。"
+    n = len(SENTENCES[0])
+    assert truncation.cut_against(whole[: n + 8], whole, 0.8) is True and truncation.cut_against(whole[: n - 3], whole, 0.8) is True
+    assert truncation.cut_against(whole[:n], whole, 0.8) is False and truncation.cut_against(whole[: n + 1], whole, 0.8) is False
+    assert truncation.cut_against(whole, whole, 0.8) is None and truncation.cut_against(SENTENCES[3], whole, 0.8) is None and truncation.cut_against(whole[:n + 8] + "\ufffd", whole, 0.8) is True
+
+
+def test_cut_by_copy_alone_whatever_was_lost(spark):
+    """A few edits before the cut, 30 to 70 % lost: no model of endings, only the copy tells; whole texts beside them stay."""
+    rng = random.Random(9)
+    rows, cut = [], set()
+    for i in range(150):
+        body = "".join(chr(rng.randint(0x4E00, 0x62FF)) for _ in range(rng.randint(120, 300)))
+        rows.append((3 * i, body + "。"))
+        lost = rng.uniform(0.3, 0.7)
+        x = list(body[: int(len(body) * (1 - lost))])
+        for _ in range(rng.randint(0, 2)):
+            x[rng.randrange(len(x) - 3)] = "䶵"
+        rows.append((3 * i + 1, "".join(x)))
+        cut.add(3 * i + 1)
+        rows.append((3 * i + 2, "".join(chr(rng.randint(0x6300, 0x77FF)) for _ in range(150))))  # whole, without a mark and without a copy
+    got = {r["id"]: r["cut"] for r in truncation.cut_by_copy(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    found = {k for k, v in got.items() if v}
+    assert not found - cut and len(found) >= 0.97 * len(cut)
 
 
 def test_end_shares():
@@ -97,9 +146,8 @@ def test_cut_copies_of_a_hot_family(spark):
         x[177 + i % 8] = chr(0x9000 + i)
         t[i] = "".join(x) + "。"
     df = spark.createDataFrame(list(t.items()), "id bigint, text string")
-    how = dataclasses.replace(truncation.NEAR, small=2)
-    assert [r["id"] for r in truncation.cut_by_copy(df, how).collect()] == [60]
-    assert truncation.cut_by_copy(df.limit(0), how).count() == 0
+    assert [r["id"] for r in truncation.cut_by_copy(df).where("cut").collect()] == [60]
+    assert truncation.cut_by_copy(df.limit(0)).count() == 0
 
 
 def test_long_copies_and_long_nothing():
