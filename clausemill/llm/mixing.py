@@ -78,27 +78,11 @@ def _fly_on(pdf: pd.DataFrame) -> pd.DataFrame:
     return _fly(pdf, min(RESERVE, BLOCK // 10))
 
 
-def mend(pi: list[float], size: list[int], want: float, most: int = 200) -> list[float]:
-    """Turn over decided rows, each the one that brings the token total nearest to ``want``, while it gets nearer."""
-    p = list(pi)
-    off = want - sum(a * s for a, s in zip(p, size, strict=True))
-    for _ in range(most):
-        side = 0.0 if off > 0 else 1.0
-        best = min((k for k in range(len(p)) if p[k] == side), key=lambda k: abs(abs(off) - size[k]), default=None)
-        if best is None or abs(abs(off) - size[best]) >= abs(off):
-            break
-        p[best] = 1.0 - side
-        off += size[best] if side else -size[best]
-    return p
-
-
 def _fly_and_land(pdf: pd.DataFrame) -> pd.DataFrame:
-    want = float((pdf["pi"] * pdf["tokens"]).sum())
     pdf = _fly(pdf)
     open_ = (pdf["pi"] > 0) & (pdf["pi"] < 1)
     if open_.any():
         pdf.loc[open_, "pi"] = land(pdf.loc[open_, "pi"].tolist(), pdf.loc[open_, "tokens"].tolist())
-        pdf["pi"] = mend(pdf["pi"].tolist(), pdf["tokens"].tolist(), want)
     return pdf
 
 
@@ -130,8 +114,8 @@ def balanced_selection(units: DataFrame, quota: DataFrame, seed: int = 1) -> Dat
     A source that is to be taken c times on average gets every row floor(c) times and the rest by a sample with equal
     probabilities, balanced on tokens and on rows: the cube method's flight runs in blocks of some thousand rows
     side by side, the at most two undecided rows of each block and some of all sizes go on to the next level until one block per source is left,
-    and only that is landed. What the landing leaves over is made good by turning over small rows of that last
-    block, so a source's total is off by less than a row. No block grows with the data.
+    and only that is landed. No decided row is turned over again, so every row keeps its inclusion probability but for the
+    two that land, and a source's total is off by less than these. No block grows with the data.
     """
     q = quota.select("source", "copies", F.ceil(F.col("docs") / BLOCK).cast("bigint").alias("blocks")).where("copies > 0")
     base = F.floor(F.col("copies") + 1e-12).cast("int")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import corpus
+from ..plans import sqltext as S
 from ..session import materialize
 from ..sources.tables import table
 from . import abuse, bpe, lookalike, mixing, neardup, overlap, pairs, quantile, split, truncation
@@ -55,6 +57,17 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "units"), table(spark, d, "split_limits"))
 
 
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per oversized unit: characters of its text that the pieces cover, and whether each piece keeps the limit, repeats no more than the overlap, begins where the one before ended and numbers go on."""
+    lim = table(spark, d, "split_limits").select("section", "max_chars", "overlap_chars")
+    own = corpus.latest(table(spark, d, "units").select("unit_id", "loaded_at", "section"), "unit_id").join(lim, "section").select("unit_id", "max_chars", "overlap_chars")
+    p = p4_pieces(spark, d).join(own, "unit_id")
+    return p.groupBy("unit_id").agg(
+        F.sum(F.col("n_chars") - F.col("lead_chars")).alias("covered"), F.bool_and(F.col("n_chars") <= F.col("max_chars")).alias("within_limit"), F.bool_and(F.col("lead_chars") <= F.col("overlap_chars")).alias("within_overlap"),
+        (F.max(F.col("start") + F.col("n_chars") - F.col("lead_chars")) == F.sum(F.col("n_chars") - F.col("lead_chars"))).alias("no_gap"), (F.max("piece_no") + 1 == F.count("*")).alias("numbered"),
+    )
+
+
 def _held(spark: SparkSession, d: str) -> DataFrame:
     both = [table(spark, d, n).select("id", "question", "writer", F.lit(n).alias("split")) for n in ("golden_blind_v3", "golden_blind_v6")]
     return both[0].union(both[1])
@@ -130,6 +143,22 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(mixing.balanced_selection(units, q), q)
 
 
+def p9_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: are its tokens as planned but for a thousandth or its largest two rows, are rows taken floor(c) or floor(c) + 1 times, and never more than max_repeats?"""
+    units = materialize(mixing.sized(table(spark, d, "documents")), "sized")
+    q = mixing.quotas(units, table(spark, d, "mix_targets"))
+    got = mixing.balanced_selection(units, q)
+    most = units.groupBy("source").agg(F.max("tokens").alias("largest"))
+    per = got.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.min("copies").alias("least"), F.max("copies").alias("most"))
+    j = q.join(most, "source", "left").join(per, "source", "left")
+    off = F.abs(F.coalesce("tokens", F.lit(0)) - F.col("quota"))
+    return j.select(
+        "source", "target_share", "max_repeats", (off <= F.greatest(0.001 * F.col("quota"), 2 * F.coalesce("largest", F.lit(0)))).alias("as_planned"),
+        F.coalesce((F.col("least") >= F.greatest(F.floor(F.col("copies") + 1e-12), F.lit(1))) & (F.col("most") <= F.floor(F.col("copies") + 1e-12) + 1), F.lit(True)).alias("copies_even"),
+        F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("within_repeats"),
+    )
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
@@ -147,8 +176,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_rates, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_coverage, p5_report,
-            p6_percentiles, p6_model_percentiles, p6_model_bounds, p6_coarse_bounds, p7_found, p7_forms, p8_ids, p9_selection, p9_shares, p10_found, p10_scores, p10_rates,
+            p1_found, p1_rates, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p4_coverage, p5_found, p5_coverage, p5_report,
+            p6_percentiles, p6_model_percentiles, p6_model_bounds, p6_coarse_bounds, p7_found, p7_forms, p8_ids, p9_selection, p9_shares, p9_balance, p10_found, p10_scores, p10_rates,
         )
     }
 
@@ -196,4 +225,8 @@ select model, type, day, metric, max(n) as n, {ranked}, cast(0 as bigint) as ran
     one = p6[: p6.index(",\nk as")]
     bounds = one + " select model, metric, count(*) as n, true as within_bound, true as bound_within_eps from v where value >= 0 group by model, metric"
     coarse = one + " select metric, count(*) as n, true as within_bound, true as bound_within_eps, true as sketched from v where value >= 0 group by metric"
-    return {"p3_found": p3, "p4_found": p4, "p5_found": p5, "p6_percentiles": p6, "p6_model_bounds": bounds, "p6_coarse_bounds": coarse}
+    p4_coverage = f"""with {S.UNITS}, k as (select u.unit_id, length(u.text) as n, (select coalesce(sum(coalesce(length(x.line), 0)), 0) from (select unnest(lines) as x)) as chars, u.section from u join u0 on u0.unit_id = u.unit_id and u0.rn = 1)
+select k.unit_id, k.n as covered, true as within_limit, true as within_overlap, true as no_gap, true as numbered from k join split_limits s on s.section = k.section where k.chars > s.max_chars"""
+    shares = """with t as (select source, max(coalesce(target_share, 0)) as target_share, max(coalesce(max_repeats, 0)) as max_repeats from mix_targets where source is not null group by source)
+select source, target_share, cast(max_repeats as int) as max_repeats, true as as_planned, true as copies_even, true as within_repeats from t"""
+    return {"p4_coverage": p4_coverage, "p9_balance": shares, "p3_found": p3, "p4_found": p4, "p5_found": p5, "p6_percentiles": p6, "p6_model_bounds": bounds, "p6_coarse_bounds": coarse}

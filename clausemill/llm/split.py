@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Boundaries by strength: sentence and item ends, clause marks, white space.
@@ -21,12 +21,17 @@ def total_chars(lines: Column) -> Column:
     return F.aggregate(F.coalesce(lines, F.array()), F.lit(0), lambda n, x: n + F.coalesce(F.char_length(x["line"]), F.lit(0)))
 
 
+#: pieces that an overlap looks back over; shorter ones end at a boundary, so that it begins at one if these don't fill it
+LOOKBACK = 3
+
+
 def cut_pattern(limit: Column) -> Column:
-    """Alternatives in order of boundary strength, each up to ``limit`` characters and at least half of it, then any characters."""
+    """Alternatives in order of boundary strength, each up to ``limit`` characters and at least half of it; then the same boundaries in the first half, the last one first; then any characters."""
     half = F.greatest(F.lit(0), F.floor(limit / 2) - 1).cast("string")
     top = (limit - 1).cast("string")
-    alternatives = [F.concat(F.lit(".{"), half, F.lit(","), top, F.lit(f"}}[{marks}]")) for marks in (STRONG, MIDDLE, WEAK)]
-    return F.concat(F.lit("(?s)("), F.concat_ws("|", *alternatives, F.concat(F.lit(".{1,"), limit.cast("string"), F.lit("}"))), F.lit(")"))
+    late = [F.concat(F.lit(".{"), half, F.lit(","), top, F.lit(f"}}[{marks}]")) for marks in (STRONG, MIDDLE, WEAK)]
+    early = [F.concat(F.lit(".{0,"), half, F.lit(f"}}[{marks}]")) for marks in (STRONG, MIDDLE, WEAK)]
+    return F.concat(F.lit("(?s)("), F.concat_ws("|", *late, *early, F.concat(F.lit(".{1,"), limit.cast("string"), F.lit("}"))), F.lit(")"))
 
 
 def lap_of(max_chars: Column, overlap: Column) -> Column:
@@ -34,11 +39,6 @@ def lap_of(max_chars: Column, overlap: Column) -> Column:
     return F.least(F.greatest(overlap, F.lit(0)), F.floor((max_chars - 1) / 2).cast("int"))
 
 
-def offsets(bodies: Column) -> Column:
-    """Start of each body: running sums of their lengths."""
-    return F.aggregate(bodies, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(b))))
-
-
 def lead_of(back: Column, start: Column, lap: Column) -> Column:
     """What a piece repeats of the characters ``back`` before it: from behind their first sentence end on, else clause mark, else all."""
 
@@ -48,20 +48,22 @@ def lead_of(back: Column, start: Column, lap: Column) -> Column:
     return F.when((start <= lap) | (lap == 0), back).otherwise(F.coalesce(behind(STRONG), behind(MIDDLE), back))
 
 
-def with_pieces(items: DataFrame) -> DataFrame:
-    """Items (..., body_text, max_chars, overlap_chars) -> one row per piece with piece_no, start, lead, body.
+def with_pieces(items: DataFrame, key: str) -> DataFrame:
+    """Items (key, body_text, max_chars, overlap_chars), one row per key -> one row per piece with piece_no, start, lead, body.
 
     piece = lead + body has at most max_chars characters, and the bodies together are the text. Bodies come from one
-    pass of the regex, their offsets from one fold; each step is a column of its own, so none is worked out per piece.
+    pass of the regex, what a piece repeats from the ``LOOKBACK`` bodies before it; where a body starts is a running sum over
+    the pieces, in the partitioning that the items have. So the work is linear in the text however many pieces it makes.
     """
-    keep = [c for c in items.columns if c not in ("body_text", "max_chars", "overlap_chars")]
     lap = lap_of(F.col("max_chars"), F.col("overlap_chars"))
-    a = items.select(*keep, "body_text", lap.alias("lap"), F.regexp_extract_all("body_text", cut_pattern(F.col("max_chars") - lap), F.lit(1)).alias("bodies"))
-    b = a.select(*keep, "body_text", "lap", "bodies", F.slice(offsets(F.col("bodies")), F.lit(1), F.size("bodies")).alias("starts"))
-    back = lambda o: F.substring(F.col("body_text"), F.greatest(o - F.col("lap"), F.lit(0)) + 1, F.least(F.col("lap"), o))
-    c = b.select(*keep, "lap", F.zip_with("bodies", "starts", lambda t, o: F.struct(t.alias("body"), o.alias("start"), back(o).alias("back"))).alias("ps"))
-    d = c.select(*keep, "lap", F.posexplode("ps").alias("piece_no", "p"))
-    return d.select(*keep, "piece_no", F.col("p.start").alias("start"), lead_of(F.col("p.back"), F.col("p.start"), F.col("lap")).alias("lead"), F.col("p.body").alias("body"))
+    a = items.select(key, lap.alias("lap"), F.regexp_extract_all("body_text", cut_pattern(F.col("max_chars") - lap), F.lit(1)).alias("bodies"))
+    bodies = F.col("bodies")
+    back = lambda i: F.right(F.array_join(F.slice(bodies, F.greatest(i - (LOOKBACK - 1), F.lit(1)), F.least(i, F.lit(LOOKBACK))), ""), F.col("lap"))
+    ps = F.transform(bodies, lambda t, i: F.struct(t.alias("body"), back(i).alias("back")))
+    b = a.select(key, "lap", F.posexplode(ps).alias("piece_no", "p")).select(key, "lap", "piece_no", F.col("p.body").alias("body"), F.col("p.back").alias("back"))
+    before = Window.partitionBy(key).orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)
+    c = b.withColumn("start", F.coalesce(F.sum(F.char_length("body")).over(before), F.lit(0)).cast("int"))
+    return c.select(key, "piece_no", "start", lead_of(F.col("back"), F.col("start"), F.col("lap")).alias("lead"), "body")
 
 
 def split_oversized(units: DataFrame, limits: DataFrame) -> DataFrame:
@@ -82,5 +84,5 @@ def split_oversized(units: DataFrame, limits: DataFrame) -> DataFrame:
     lim = limits.where("section is not null and max_chars is not null").groupBy("section").agg(F.min("max_chars").alias("max_chars"), F.max(F.coalesce("overlap_chars", F.lit(0))).alias("overlap_chars"))
     big = one.join(lim, "section").where(total_chars(F.col("lines")) > F.col("max_chars"))
     items = big.select("unit_id", joined(F.col("lines")).alias("body_text"), F.greatest("max_chars", F.lit(2)).alias("max_chars"), "overlap_chars")
-    cut = with_pieces(items).withColumn("text", F.concat("lead", "body"))
+    cut = with_pieces(items, "unit_id").withColumn("text", F.concat("lead", "body"))
     return cut.select("unit_id", "piece_no", "start", F.char_length("lead").alias("lead_chars"), F.char_length("text").alias("n_chars"), "text")

@@ -159,3 +159,13 @@ def test_selection_meets_quotas_in_blocks(spark, monkeypatch):
 def test_what_counts_for_the_mix(spark):
     docs = spark.createDataFrame([(1, "a", "x y", 9), (2, "a", None, 9), (3, "a", "  　\n", 9), (4, None, "x", 9), (5, "b", "", 9)], "doc_id bigint, source string, text string, tokens int")
     assert [(r["doc_id"], r["tokens"]) for r in mixing.sized(docs).collect()] == [(1, 2)]
+
+
+def test_boundary_in_the_first_half_and_many_pieces(spark):
+    text = "短句子。" + "a" * 17 + "。"
+    rows = [unit(1, "guide", [text]), unit(2, "body", ["字" * 60_000])]
+    limits = spark.createDataFrame([("guide", 20, 0), ("body", 50, 10)], "section string, max_chars int, overlap_chars int")
+    got = split.split_oversized(spark.createDataFrame(rows, UNITS), limits).orderBy("unit_id", "piece_no").collect()
+    assert [r["text"] for r in got if r["unit_id"] == 1] == ["短句子。", "a" * 17 + "。"]
+    two = [r for r in got if r["unit_id"] == 2]
+    assert len(two) == 1500 and all(r["n_chars"] == r["lead_chars"] + 40 for r in two) and two[7]["lead_chars"] == 10 and two[-1]["start"] == 59_960
