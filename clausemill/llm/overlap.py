@@ -20,31 +20,43 @@ from .textnorm import codes, grams
 
 @dataclass(frozen=True)
 class Winnow:
-    """k: characters of a gram; w: window, so every common run of k + w - 1 characters has a common seed; matches: texts of one side times those of the other up to which a seed is joined row by row, above it is compared in blocks; least: similarity of a reported pair; sketch_bits: agreeing bits, of the 64 * words of a min-hash sketch of the character pairs, that a pair needs before it is looked at (four standard deviations under the mean at ``least``)."""
+    """k: characters of a gram; w: window, so every common run of k + w - 1 characters has a common seed; short: characters up to which a text is fingerprinted with fine_k and fine_w as well, as its edits leave shorter runs in common; matches: texts of one side times those of the other up to which a seed is joined row by row, above it is compared in blocks; least: similarity of a reported pair; sketch_bits: agreeing bits, of the 64 * words of a min-hash sketch of the character pairs, that a pair needs before it is looked at (four standard deviations under the mean at ``least``)."""
 
     k: int = 8
     w: int = 4
+    short: int = 48
+    fine_k: int = 4
+    fine_w: int = 3
     matches: int = 400
     least: float = 0.5
     words: int = 6
     sketch_bits: int = 254
 
 
-def fingerprints(text: str, how: Winnow) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the selected minima, rightmost on ties; a text shorter than a gram is its own seed."""
-    a = codes(text).astype(np.uint64)
-    k = min(how.k, len(a))
+def winnowed(a: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the selected minima of a text's codes, rightmost on ties; a text shorter than a gram is its own seed."""
+    k = min(k, len(a))
     if not k:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    h = np.zeros(len(a) - k + 1, dtype=np.uint64)
+    h = np.full(len(a) - k + 1, k, dtype=np.uint64)
     for j in range(k):
         h = mix((h + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15) ^ a[j : len(a) - k + 1 + j])
-    w = min(how.w, len(h))
+    w = min(w, len(h))
     win = np.lib.stride_tricks.sliding_window_view(h, w)[:, ::-1]
     at = np.unique(np.arange(len(win)) + w - 1 - win.argmin(1))
     return h[at], at.astype(np.int64)
 
 
+def fingerprints(text: str, how: Winnow) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of a text and where they begin; a short text has finer ones too."""
+    a = codes(text).astype(np.uint64)
+    h, at = winnowed(a, how.k, how.w)
+    if len(a) > how.short:
+        return h, at
+    fine, fine_at = winnowed(a, how.fine_k, how.fine_w)
+    return np.concatenate([h, fine]), np.concatenate([at, fine_at])
+
+
 def _sketch(how: Winnow) -> list[str]:
     return [f"s{i}" for i in range(how.words)]
 

@@ -112,7 +112,7 @@ def test_cross_overlaps_against_brute_force(spark):
             p, q = grams(plain(x)), grams(plain(y))
             if len(p & q) >= 0.5 * len(p | q):
                 want.add((i, j))
-    how = overlap.Winnow(k=4, w=3)
+    how = overlap.Winnow()
     found = overlap.cross_overlaps(fa, fb, how)
     got = {(r["id_a"], r["id_b"]) for r in found.collect()}
     assert got <= want and len(got) >= 0.97 * len(want) and ("b900", "d900") in got
@@ -123,6 +123,37 @@ def test_cross_overlaps_against_brute_force(spark):
     assert r["records"] == len(b) and r["overlapping"] == len({j for _, j in got})
 
 
+def edited(text, rng):
+    """With substitutions, insertions, deletions and moved pieces, until about half to nine tenths of the pairs stay."""
+    x = list(text)
+    for _ in range(rng.randint(1, max(1, len(x) // 7))):
+        k = rng.randrange(len(x))
+        x[k : k + rng.randint(0, 2)] = [chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(rng.randint(0, 2))]
+    if rng.random() < 0.3:
+        c = rng.randrange(len(x))
+        x = x[c:] + x[:c]
+    return "".join(x)
+
+
+def test_recall_of_proposals_at_all_lengths():
+    """With the shipped defaults, of random edits that leave a similarity of 0.5 or more: a common seed and a sketch that agrees."""
+    rng, how = random.Random(12), overlap.Winnow()
+    for n in (20, 25, 30, 40, 48, 55, 70, 100):
+        pairs = []
+        while len(pairs) < 400:
+            t = "".join(chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(n))
+            u = edited(t, rng)
+            if len(u) > 3 and len(grams(t) & grams(u)) >= 0.5 * len(grams(t) | grams(u)):
+                pairs.append((t, u))
+        hit = [bool(set(overlap.fingerprints(t, how)[0].tolist()) & set(overlap.fingerprints(u, how)[0].tolist())) for t, u in pairs]
+        assert sum(hit) >= 0.95 * len(hit), (n, sum(hit) / len(hit))
+        flat = [x for p in pairs for x in p]
+        rows, values = overlap.grams(flat, 2)
+        sk = overlap.sketch(overlap.signatures(rows, overlap.mix(values), None, len(flat), 64 * how.words), how.words)
+        apart = np.bitwise_count((sk[0::2] ^ sk[1::2]).view(np.uint64)).sum(1)
+        assert (64 * how.words - apart >= how.sketch_bits).mean() >= 0.995
+
+
 def test_seeds_of_a_hot_question_lose_no_pair(spark):
     """Edits spread over the variants of one question leave short common runs only, in seeds of more than ``matches`` pairs."""
     rng = random.Random(3)
