@@ -46,7 +46,8 @@ def scores(contribution: DataFrame, digits: int = 6) -> DataFrame:
     return contribution.groupBy("qid", "id").agg(F.round(F.sum("contribution"), digits).alias("score"))
 
 
-def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
-    """The k best per query with their rank; ties go to the smaller id."""
+def top(scored: DataFrame, k: int | None, by: str = "score") -> DataFrame:
+    """The k best per query (all, if None) with their rank; ties go to the smaller id."""
     w = Window.partitionBy("qid").orderBy(F.desc(by), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -8,9 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import retrieval, runs, texts
+from . import reports, retrieval, runs, texts
 
-_ALL: dict[str, tuple] = {**retrieval.CATALOGUE, **texts.CATALOGUE, **runs.CATALOGUE}
+_ALL: dict[str, tuple] = {**retrieval.CATALOGUE, **texts.CATALOGUE, **runs.CATALOGUE, **reports.CATALOGUE}
 
 
 #: columns that are int on the SQL side; everywhere else integers are bigint there

@@ -175,14 +175,14 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
 NEAR = f"with {_dense_sql()} select qid, id, score from s where score >= 0.3 and qid <> id"
 
 
-def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """(id, kept): in order of id, a vector is dropped if a kept one before it has cosine 0.3 or more with it.
+def greedy_dedup(spark: SparkSession, d: str, least: float = 0.9) -> DataFrame:
+    """(id, kept): in order of id, a vector is dropped if a kept one before it has cosine ``least`` or more with it.
 
     Order-dependent: a dropped one suppresses none. Solved in rounds over the links alone: a vector is kept once all linked ones before it are
     dropped, and dropped once one of them is kept; each round decides at least the first undecided.
     """
     e = table(spark, d, "embeddings").where("vec_id is not null")
-    s = dense.cosine_top(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), None, least=0.3)
+    s = dense.cosine_top(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), None, least=least)
     links = materialize(s.where("id < qid").select(F.col("qid").alias("v"), F.col("id").alias("u")), "links")
     q = e.select(F.col("vec_id").alias("id")).distinct()
     state = materialize(q.join(links.select(F.col("v").alias("id")).distinct().withColumn("has", F.lit(True)), "id", "left").select("id", F.when(F.col("has").isNull(), True).alias("kept")), "state")
@@ -194,24 +194,40 @@ def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     return state
 
 
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "golden_blind_v1").withColumn("qid", F.expr("cast(substring(id, 2) as bigint)")).where("qid % 20 = 0 and question is not null")
+DEDUP = """with recursive e as (select vec_id as id, row_number() over (order by vec_id) as n, cast(embedding as double[]) as v from embeddings where vec_id is not null),
+w as (select id, n, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from e),
+l as (select b.n, list(a.id) as before from w a join w b on a.n < b.n and round(list_inner_product(a.v, b.v), 6) >= 0.9 group by b.n),
+g(n, kept) as (select cast(0 as bigint), cast([] as bigint[]) union all
+select g.n + 1, case when coalesce(list_has_any(g.kept, l.before), false) then g.kept else list_append(g.kept, w.id) end from g join w on w.n = g.n + 1 left join l on l.n = g.n + 1),
+f as (select kept from g order by n desc limit 1)
+select w.id, list_contains(f.kept, w.id) as kept from w, f"""
+
+
+def _evidence(spark: SparkSession, d: str, searched: bool = True) -> DataFrame:
+    """Expected sources (qid, type, ev, doc_id, page, part, clause_id), one row each; of the searched questions, or of all."""
+    g = table(spark, d, "golden_blind_v1").withColumn("qid", F.expr("cast(substring(id, 2) as bigint)")).where("question is not null" + (" and qid % 20 = 0" if searched else ""))
     one = g.groupBy("qid").agg(F.max(F.struct("question", "expected_sources", "type")).alias("g"))
     return one.select("qid", F.col("g.type").alias("type"), F.posexplode("g.expected_sources").alias("ev", "s")).select("qid", "type", "ev", "s.doc_id", "s.page", "s.part", "s.clause_id")
 
 
 _EVIDENCE = """ev as (select qid, type, generate_subscripts(es, 1) - 1 as ev, unnest(es) as s from (select cast(substr(id, 2) as bigint) as qid, any_value(type) as type, any_value(expected_sources) as es
 from golden_blind_v1 where question is not null and cast(substr(id, 2) as bigint) % 20 = 0 group by 1)),
-f as (select ev.qid, ev.type, ev.ev, min(t.rank) as rank from ev left join t on t.qid = ev.qid and t.doc_id = ev.s.doc_id group by 1, 2, 3),
+f as (select ev.qid, ev.type, ev.ev, min(t.rank) as rank from ev left join t on t.qid = ev.qid and t.doc_id = ev.s.doc_id and t.part = coalesce(ev.s.part, '') and t.clause_id = ev.s.clause_id
+and ev.s.page between t.page_start and t.page_end group by 1, 2, 3),
 qm as (select qid, type, min(rank) as first_rank, case when min(rank) <= 5 then 1 else 0 end as hit, count(case when rank <= 5 then 1 end) / cast(count(*) as double) as recall,
 case when min(rank) <= 10 then 1.0 / min(rank) else 0.0 end as rr from f group by qid, type)"""
 
 
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """Units by what makes them relevant to an expected source; a part that isn't there is the empty text."""
+    return _units(spark, d).select(F.col("unit_id").alias("id"), "doc_id", F.coalesce("part", F.lit("")).alias("part"), "clause_id", "page_start", "page_end")
+
+
 def _question_metrics(spark: SparkSession, d: str) -> DataFrame:
-    u = _units(spark, d).select(F.col("unit_id").alias("id"), "doc_id")
-    top = lexical.top(_scored(spark, d), 50).join(u, "id")
-    ev = materialize(_evidence(spark, d), "evidence")
-    m = metrics.question_metrics(metrics.evidence_ranks(ev, top, ["doc_id"]))
+    """Relevant is what is of the expected document, part and clause and holds the page; all units with a word of the question are ranked."""
+    u = _places(spark, d)
+    ev = materialize(_evidence(spark, d).withColumn("part", F.coalesce("part", F.lit(""))), "evidence")
+    m = metrics.question_metrics(metrics.evidence_ranks(ev, lexical.top(_scored(spark, d), None).join(u, "id"), ["doc_id", "part", "clause_id"], ("page", "page_start", "page_end")))
     return m.join(ev.select("qid", "type").distinct(), "qid")
 
 
@@ -224,10 +240,10 @@ def retrieval_metrics_by_type(spark: SparkSession, d: str) -> DataFrame:
     return m.groupingSets([["type"], []], "type").agg(*metrics.macro())
 
 
-_TOP50 = "t as (select r.*, u.doc_id from r join u on u.unit_id = r.id where r.rank <= 50)"
+_PLACED = "t as (select r.*, u.doc_id, coalesce(u.part, '') as part, u.clause_id, u.page_start, u.page_end from r join u on u.unit_id = r.id)"
 _MACRO = "count(*) as questions, round(avg(hit), 6) as hit_rate, round(avg(recall), 6) as recall, round(avg(rr), 6) as mrr"
-METRICS = f"{S.bm25('lucene')},\n{_TOP50},\n{_EVIDENCE}\nselect {_MACRO} from qm"
-METRICS_BY = f"{S.bm25('lucene')},\n{_TOP50},\n{_EVIDENCE}\nselect type, {_MACRO} from qm group by grouping sets ((type), ())"
+METRICS = f"{S.bm25('lucene')},\n{_PLACED},\n{_EVIDENCE}\nselect {_MACRO} from qm"
+METRICS_BY = f"{S.bm25('lucene')},\n{_PLACED},\n{_EVIDENCE}\nselect type, {_MACRO} from qm group by grouping sets ((type), ())"
 
 
 def question_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +251,7 @@ def question_ranks(spark: SparkSession, d: str) -> DataFrame:
     return m.select("qid", "type", "first_rank", "hit", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"))
 
 
-QUESTION_RANKS = f"{S.bm25('lucene')},\n{_TOP50},\n{_EVIDENCE}\nselect qid, type, first_rank, hit, round(recall, 6) as recall, round(rr, 6) as rr from qm"
+QUESTION_RANKS = f"{S.bm25('lucene')},\n{_PLACED},\n{_EVIDENCE}\nselect qid, type, first_rank, hit, round(recall, 6) as recall, round(rr, 6) as rr from qm"
 
 
 def evidence_range_join(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +269,7 @@ p as (select type, id, count(unit_id) as n from ev left join u on u.doc_id = ev.
 select type, count(*) as questions, count(case when n > 0 then 1 end) as with_unit, cast(sum(n) as bigint) as matches from p group by type"""
 
 
-def _top(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _top(spark: SparkSession, d: str, k: int | None) -> DataFrame:
     u = _units(spark, d).select(F.col("unit_id").alias("id"), "doc_id", "text", "n_chars")
     return lexical.top(_scored(spark, d), k).join(u, "id")
 
@@ -261,12 +277,12 @@ def _top(spark: SparkSession, d: str, k: int) -> DataFrame:
 def seed_quota(spark: SparkSession, d: str) -> DataFrame:
     """Seeds with a quota of 2 per document for questions with two expected documents or more, else the 5 best."""
     n = _evidence(spark, d).groupBy("qid").agg(F.countDistinct("doc_id").alias("entities"))
-    t = _top(spark, d, 20).join(n, "qid", "left").withColumn("entities", F.coalesce("entities", F.lit(0)))
+    t = _top(spark, d, None).join(n, "qid", "left").withColumn("entities", F.coalesce("entities", F.lit(0)))
     return ranking.seeds(t, "doc_id", F.col("entities"), 5, 2).select("qid", "id", "doc_id", "rank")
 
 
 SEED_QUOTA = f"""{S.bm25('lucene')}, n as (select qid, count(distinct s.doc_id) as entities from (select cast(substr(id, 2) as bigint) as qid, unnest(expected_sources) as s from golden_blind_v1 where question is not null) group by qid),
-t as (select r.qid, r.id, u.doc_id, r.rank, coalesce(n.entities, 0) as entities, row_number() over (partition by r.qid, u.doc_id order by r.rank) as e from r join u on u.unit_id = r.id left join n on n.qid = r.qid where r.rank <= 20)
+t as (select r.qid, r.id, u.doc_id, r.rank, coalesce(n.entities, 0) as entities, row_number() over (partition by r.qid, u.doc_id order by r.rank) as e from r join u on u.unit_id = r.id left join n on n.qid = r.qid)
 select qid, id, doc_id, rank from t where case when entities >= 2 then e <= 2 else rank <= 5 end"""
 
 
@@ -327,20 +343,27 @@ select qid, 'C' || row_number() over (partition by qid order by first, doc) as c
 
 
 def evidence_completeness(spark: SparkSession, d: str) -> DataFrame:
-    """Per type: questions with any, and with all of their expected documents in the context, and the mean context size."""
-    z = materialize(_context(spark, d).select("qid", "doc", "text"), "context")
-    docs = z.select("qid", F.col("doc").alias("doc_id")).distinct().withColumn("in", F.lit(1))
+    """Per type: questions with any, with all of their expected sources in the context; complete is all where two documents or more are expected, else any; mean recall and context size."""
+    z = materialize(_context(spark, d).select("qid", F.col("chunk_id").alias("id"), "text"), "context")
     size = z.groupBy("qid").agg(F.sum(F.char_length("text")).alias("chars"))
-    e = _evidence(spark, d).join(docs, ["qid", "doc_id"], "left").groupBy("qid", "type").agg(F.bool_or(F.col("in").isNotNull()).alias("any"), F.bool_and(F.col("in").isNotNull()).alias("all"))
+    have = z.select("qid", "id").distinct().join(_places(spark, d), "id").withColumn("rank", F.lit(1))
+    ev = materialize(_evidence(spark, d).withColumn("part", F.coalesce("part", F.lit(""))), "evidence")
+    r = metrics.evidence_ranks(ev, have, ["doc_id", "part", "clause_id"], ("page", "page_start", "page_end")).join(ev.select("qid", "ev", "type", "doc_id"), ["qid", "ev"])
+    found = F.col("rank").isNotNull()
+    e = r.groupBy("qid", "type").agg(F.bool_or(found).alias("any"), F.bool_and(found).alias("all"), F.countDistinct("doc_id").alias("docs"), F.avg(found.cast("int")).alias("recall"))
     return e.join(size, "qid", "left").groupBy("type").agg(
-        F.count("*").alias("questions"), F.count_if("any").alias("any_evidence"), F.count_if("all").alias("all_evidence"), F.round(F.avg(F.coalesce("chars", F.lit(0))), 6).alias("avg_chars")
-    )
+        F.count("*").alias("questions"), F.count_if("any").alias("any_evidence"), F.count_if("all").alias("all_evidence"), F.count_if(F.when(F.col("docs") >= 2, F.col("all")).otherwise(F.col("any"))).alias("complete"),
+        F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg(F.coalesce("chars", F.lit(0))), 6).alias("avg_chars"),
+    )
 
 
-COMPLETE = f"""{_CONTEXT}, ds as (select distinct qid, doc from z), sz as (select qid, sum(length(text)) as chars from z group by qid),
-ev as (select qid, type, unnest(es) as s from (select cast(substr(id, 2) as bigint) as qid, any_value(type) as type, any_value(expected_sources) as es from golden_blind_v1 where question is not null and cast(substr(id, 2) as bigint) % 20 = 0 group by 1)),
-e as (select ev.qid, ev.type, bool_or(ds.doc is not null) as a, bool_and(ds.doc is not null) as b from ev left join ds on ds.qid = ev.qid and ds.doc = ev.s.doc_id group by 1, 2)
-select type, count(*) as questions, count(case when a then 1 end) as any_evidence, count(case when b then 1 end) as all_evidence, round(avg(coalesce(chars, 0)), 6) as avg_chars from e left join sz on sz.qid = e.qid group by type"""
+COMPLETE = f"""{_CONTEXT}, ds as (select distinct z.qid, u.doc_id, coalesce(u.part, '') as part, u.clause_id, u.page_start, u.page_end from z join u on u.unit_id = z.chunk_id), sz as (select qid, sum(length(text)) as chars from z group by qid),
+ev as (select qid, type, generate_subscripts(es, 1) as ev, unnest(es) as s from (select cast(substr(id, 2) as bigint) as qid, any_value(type) as type, any_value(expected_sources) as es from golden_blind_v1 where question is not null and cast(substr(id, 2) as bigint) % 20 = 0 group by 1)),
+e0 as (select ev.qid, ev.type, ev.ev, any_value(ev.s.doc_id) as doc_id, bool_or(ds.doc_id is not null) as found from ev left join ds on ds.qid = ev.qid and ds.doc_id = ev.s.doc_id and ds.part = coalesce(ev.s.part, '') and ds.clause_id = ev.s.clause_id
+and ev.s.page between ds.page_start and ds.page_end group by 1, 2, 3),
+e as (select qid, type, bool_or(found) as a, bool_and(found) as b, count(distinct doc_id) as docs, avg(cast(found as int)) as recall from e0 group by 1, 2)
+select type, count(*) as questions, count(case when a then 1 end) as any_evidence, count(case when b then 1 end) as all_evidence, count(case when case when docs >= 2 then b else a end then 1 end) as complete,
+round(avg(recall), 6) as recall, round(avg(coalesce(chars, 0)), 6) as avg_chars from e left join sz on sz.qid = e.qid group by type"""
 
 
 def acl_prefilter_search(spark: SparkSession, d: str) -> DataFrame:
@@ -356,7 +379,7 @@ select qid, id, doc_id, score, rank from (select *, row_number() over (partition
 
 def denial_audit(spark: SparkSession, d: str) -> DataFrame:
     """Documents that questions expect, by what their asker may see: asked and allowed, denied, or missing; missing and denied carry one message."""
-    ev = _evidence(spark, d).select("qid", "doc_id").distinct().withColumn("tenant", F.expr("(qid div 20) % 2"))
+    ev = _evidence(spark, d, searched=False).select("qid", "doc_id").distinct().withColumn("tenant", F.expr("(qid div 20) % 2"))
     have = _units(spark, d).select("doc_id").distinct().select("doc_id", (F.expr("cast(right(doc_id, 1) as bigint)") % 2).alias("owner"))
     j = ev.join(have, "doc_id", "left")
     ok = F.coalesce(F.col("owner") == F.col("tenant"), F.lit(False))
@@ -366,7 +389,7 @@ def denial_audit(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-DENIAL = f"""with {S.UNITS}, ev as (select distinct qid, s.doc_id as doc_id, (qid // 20) % 2 as tenant from (select cast(substr(id, 2) as bigint) as qid, unnest(expected_sources) as s from golden_blind_v1 where question is not null) where qid % 20 = 0),
+DENIAL = f"""with {S.UNITS}, ev as (select distinct qid, s.doc_id as doc_id, (qid // 20) % 2 as tenant from (select cast(substr(id, 2) as bigint) as qid, unnest(expected_sources) as s from golden_blind_v1 where question is not null)),
 h as (select distinct doc_id, cast(right(doc_id, 1) as bigint) % 2 as owner from u),
 j as (select ev.*, owner, coalesce(owner = tenant, false) as ok from ev left join h on h.doc_id = ev.doc_id)
 select qid, count(*) as asked, count(case when ok then 1 end) as allowed, count(case when owner is not null and not ok then 1 end) as denied,
@@ -435,7 +458,7 @@ CATALOGUE = {
     "two_stage_rerank": (two_stage_rerank, TWO_STAGE),
     "best_per_group_search": (best_per_group_search, BEST_GROUP),
     "near_duplicate_pairs": (near_duplicate_pairs, NEAR),
-    "greedy_dedup": (greedy_dedup, None),
+    "greedy_dedup": (greedy_dedup, DEDUP),
     "seed_quota": (seed_quota, SEED_QUOTA),
     "neighbor_expansion": (neighbor_expansion, NEIGHBOURS),
     "round_robin_merge": (round_robin_merge, ROUND_ROBIN),

@@ -63,28 +63,33 @@ count(case when len(invalid_citations) > 0 then 1 end) as invalid_citation_runs,
 
 
 def generation_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Conditional ratios per type and in total: of answerable runs those refused, those with relevant context, of these those that cite it; tokens over all runs."""
-    r = _runs(spark, d, "type", "refused", "relevant_in_context", "cited", "cited_relevant", "usage")
-    a, ok = F.col("type") != "refuse", F.size("relevant_in_context") > 0
-    kept = a & ok & ~F.coalesce("refused", F.lit(False))
+    """Counts and conditional ratios per type and in total. Ratios are of answerable runs or, of these, those whose context holds evidence; tokens, calls and invalid citations are of all runs. Unknown flags count as not set, unknown arrays as empty."""
+    r = _runs(spark, d, "type", "refused", "relevant_in_context", "cited", "cited_relevant", "invalid_citations", "parse_ok", "finish_reason", "usage", "cached", "context_chars")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    a, refused = F.coalesce(F.col("type") != "refuse", F.lit(True)), no("refused")
+    ok = a & (n("relevant_in_context") > 0)
+    part = lambda x, of, name: F.round(share(F.count_if(x), F.count_if(of)), 6).alias(name)
     return r.groupingSets([["type"], []], "type").agg(
-        F.count("*").alias("runs"),
-        F.round(share(F.count_if(a & F.col("refused")), F.count_if(a)), 6).alias("over_refusal"),
-        F.round(share(F.count_if(~a & F.col("refused")), F.count_if(~a)), 6).alias("right_refusal"),
-        F.round(share(F.count_if(a & ok), F.count_if(a)), 6).alias("context_ok"),
-        F.round(share(F.count_if(kept & (F.size("cited_relevant") > 0)), F.count_if(kept)), 6).alias("cites_relevant"),
-        F.round(F.avg(F.size("cited")), 6).alias("avg_cited"),
-        F.sum("usage.prompt").alias("prompt_tokens"),
-        F.sum("usage.completion").alias("completion_tokens"),
-    )
+        F.count_if(a).alias("n_answerable"), F.count_if(~a).alias("n_refuse"), part(ok, a, "context_hit"), part(a & refused, a, "false_refusal"), part(ok & refused, ok, "false_refusal_ctx_ok"),
+        part(~a & refused, ~a, "correct_refusal"), part(a & (n("cited") > 0), a, "answer_has_citation"), F.round(share(F.sum(n("invalid_citations")), F.sum(n("cited"))), 6).alias("invalid_citation_rate"),
+        F.round(F.count_if(ok & ~refused & (n("cited_relevant") > 0)) / F.greatest(F.lit(1), F.count_if(ok & ~refused)), 6).alias("cites_evidence"),
+        F.count_if(F.col("parse_ok") == F.lit(False)).alias("parse_fail"), F.count_if(F.col("finish_reason") == "length").alias("truncated"),
+        F.sum("usage.prompt").alias("tokens_prompt"), F.sum("usage.completion").alias("tokens_completion"), F.sum("usage.reasoning").alias("tokens_reasoning"),
+        F.count_if(~no("cached")).alias("api_calls"), F.round(F.avg("context_chars"), 6).alias("avg_context_chars"),
+    )
+
 
+def _part_sql(x: str, of: str, name: str) -> str:
+    return f"round(count(case when {x} then 1 end) / nullif(cast(count(case when {of} then 1 end) as double), 0), 6) as {name}"
 
-GENERATION = f"""with {RUNS}, k as (select *, type <> 'refuse' as a, len(relevant_in_context) > 0 as ok from r), m as (select *, a and ok and not coalesce(refused, false) as kept from k)
-select type, count(*) as runs, round(count(case when a and refused then 1 end) / nullif(cast(count(case when a then 1 end) as double), 0), 6) as over_refusal,
-round(count(case when not a and refused then 1 end) / nullif(cast(count(case when not a then 1 end) as double), 0), 6) as right_refusal,
-round(count(case when a and ok then 1 end) / nullif(cast(count(case when a then 1 end) as double), 0), 6) as context_ok,
-round(count(case when kept and len(cited_relevant) > 0 then 1 end) / nullif(cast(count(case when kept then 1 end) as double), 0), 6) as cites_relevant,
-round(avg(len(cited)), 6) as avg_cited, cast(sum(usage.prompt) as bigint) as prompt_tokens, cast(sum(usage.completion) as bigint) as completion_tokens from m group by grouping sets ((type), ())"""
+
+GENERATION = f"""with {RUNS}, k as (select *, coalesce(type <> 'refuse', true) as a, coalesce(refused, false) as f, coalesce(type <> 'refuse', true) and coalesce(len(relevant_in_context), 0) > 0 as ok from r)
+select type, count(case when a then 1 end) as n_answerable, count(case when not a then 1 end) as n_refuse, {_part_sql("ok", "a", "context_hit")}, {_part_sql("a and f", "a", "false_refusal")}, {_part_sql("ok and f", "ok", "false_refusal_ctx_ok")},
+{_part_sql("not a and f", "not a", "correct_refusal")}, {_part_sql("a and len(cited) > 0", "a", "answer_has_citation")}, round(sum(coalesce(len(invalid_citations), 0)) / nullif(cast(sum(coalesce(len(cited), 0)) as double), 0), 6) as invalid_citation_rate,
+round(count(case when ok and not f and len(cited_relevant) > 0 then 1 end) / cast(greatest(1, count(case when ok and not f then 1 end)) as double), 6) as cites_evidence,
+count(case when not parse_ok then 1 end) as parse_fail, count(case when finish_reason = 'length' then 1 end) as truncated, cast(sum(usage.prompt) as bigint) as tokens_prompt, cast(sum(usage.completion) as bigint) as tokens_completion,
+cast(sum(usage.reasoning) as bigint) as tokens_reasoning, count(case when not coalesce(cached, false) then 1 end) as api_calls, round(avg(context_chars), 6) as avg_context_chars from k group by grouping sets ((type), ())"""
 
 
 def usage_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -148,6 +153,9 @@ def numeric_facts(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d, "answer").select("id", F.array_join(F.array_sort(X.fact_pairs(F.col("answer"))), ";").alias("facts"))
 
 
+FACTS = f"with {RUNS} select id, array_to_string({S.facts('answer')}, ';') as facts from r"
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """Clauses under the key that contexts name them by, without the piece number."""
     u = corpus.units_once(table(spark, d, "units"))
@@ -155,12 +163,16 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return u.select(key.alias("chunk_key"), "doc_id", "unit_id", "text").groupBy("chunk_key", "doc_id").agg(F.min_by("text", "unit_id").alias("text"))
 
 
-def citation_check(spark: SparkSession, d: str) -> DataFrame:
-    """Numeric facts of each answer against the blocks it cites, by kind of issue."""
+def _issues(spark: SparkSession, d: str) -> DataFrame:
+    """(id, span, fact, kind) of the numeric facts of each answer that the blocks it cites don't hold."""
     r = _runs(spark, d, "question", "answer", "context")
     bare = r.withColumn("context", F.transform("context", lambda b: F.struct(b["cid"].alias("cid"), F.transform(b["chunk_ids"], lambda c: F.substring_index(c, "#", 1)).alias("chunk_ids"))))
-    found = grounding.citation_issues(r, grounding.context_facts(bare, _chunks(spark, d)))
-    return found.groupBy("kind").agg(F.count("*").alias("issues"), F.countDistinct("id").alias("runs"))
+    return grounding.citation_issues(r, grounding.context_facts(bare, _chunks(spark, d)))
+
+
+def citation_check(spark: SparkSession, d: str) -> DataFrame:
+    """Numeric facts of each answer against the blocks it cites, by kind of issue."""
+    return _issues(spark, d).groupBy("kind").agg(F.count("*").alias("issues"), F.countDistinct("id").alias("runs"))
 
 
 def adversarial_detection(spark: SparkSession, d: str) -> DataFrame:
@@ -171,6 +183,25 @@ def adversarial_detection(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("type").agg(F.count("*").alias("mutated"), F.count_if(seen).alias("detected"))
 
 
+_CHANGED = r"regexp_replace(answer, '^([^0-9]*?)([0-9]+(?:\.[0-9]+)?)(\s*(?:%|日|元|次|个月|周岁))', '\19\2\3')"
+ADVERSARIAL = f"""with {RUNS}, k as (select type, answer, {_CHANGED} as changed from r where answer is not null), m as (select type, {S.facts('answer')} as a, {S.facts('changed')} as b, changed <> answer as c from k)
+select type, count(*) as mutated, count(case when len(list_filter(b, lambda f: not list_contains(a, f))) > 0 then 1 end) as detected from m where c and len(a) > 0 group by type"""
+
+_GROUPED = "'((?s).*?)((?:\\[C[0-9]+\\])+)'"
+ISSUES = f"""with {RUNS}, {S.UNITS},
+ch as (select chunk_key, doc_id, {S.facts('text')} as held from (select concat_ws('::', doc_id, case when coalesce(part, '') = '' then '-' else part end, clause_id) as chunk_key, doc_id, arg_min(text, unit_id) as text from u group by 1, 2)),
+cx as (select id, c.cid as cid, regexp_replace(unnest(c.chunk_ids), '#.*$', '') as chunk_key from (select id, unnest(context) as c from r)),
+b as (select id, cid, list_distinct(flatten(list(held))) as held, list(distinct doc_id) as docs from cx join ch on ch.chunk_key = cx.chunk_key group by 1, 2),
+sp0 as (select id, question, regexp_extract_all(coalesce(answer, ''), {_GROUPED}, 1) as t, regexp_extract_all(coalesce(answer, ''), {_GROUPED}, 2) as g, regexp_replace(coalesce(answer, ''), '(?s)^.*\\[C[0-9]+\\]', '') as rest from r),
+sp1 as (select id, question, unnest(t) as t, unnest(g) as g, generate_subscripts(t, 1) as span from sp0 union all select id, question, rest, '', 1000000 from sp0),
+sp as (select id, span, regexp_extract_all(g, 'C[0-9]+') as cited, list_filter({S.facts('t')}, lambda f: not list_contains(asked, f)) as facts from (select *, {S.facts('question')} as asked from sp1)),
+sup as (select s.id, s.span, flatten(list(b.held)) as supported, list_distinct(flatten(list(b.docs))) as docs from (select id, span, unnest(cited) as cid from sp where len(facts) > 0 and len(cited) > 0) s join b on b.id = s.id and b.cid = s.cid group by 1, 2),
+fx as (select f.id, f.span, f.fact, sup.docs from (select id, span, unnest(facts) as fact from sp where len(cited) > 0) f left join sup on sup.id = f.id and sup.span = f.span where not coalesce(list_contains(sup.supported, f.fact), false)),
+hb as (select id, unnest(held) as fact, docs from b),
+issues as (select id, span, null as fact, 'uncited' as kind from sp where len(facts) > 0 and len(cited) = 0
+union all select fx.id, fx.span, fx.fact, case when count(hb.docs) = 0 then 'absent' when bool_or(coalesce(list_has_any(hb.docs, fx.docs), false)) then 'imprecise' else 'misattributed' end from fx left join hb on hb.id = fx.id and hb.fact = fx.fact group by 1, 2, 3)"""
+CHECK = f"{ISSUES} select kind, count(*) as issues, count(distinct id) as runs from issues group by kind"
+
 _GOLD = """g as (select id, any_value(must_include) as mi, any_value(must_not_include) as mn, any_value(type) as gtype from golden_blind_v1 where id is not null group by id),
 j as (select r.*, gtype, mi, mn, len(list_filter(mi, lambda p: contains(coalesce(answer, ''), p))) as covered, len(mi) as points from r join g on g.id = r.id)"""
 
@@ -238,15 +269,19 @@ CONTINGENCY = f"""with {RUNS}, {_GOLD}, k as (select coalesce(len(invalid_citati
 select case when a and b then 'both' when a then 'checker only' when b then 'verdict only' else 'neither' end as who, count(*) as runs from k group by 1"""
 
 
+# The four styles of quotation.
+QUOTED = '“[^”]*”|"[^"]*"|「[^」]*」|‘[^’]*’'
+
+
 def leak_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Forbidden strings that an answer holds outside quotation marks, per model and type; runs with a hit fail."""
     j = _judged(spark, d)
-    bare = F.regexp_replace(F.coalesce(F.col("answer"), F.lit("")), "“[^”]*”|\"[^\"]*\"|「[^」]*」|『[^』]*』", "")
+    bare = F.regexp_replace(F.coalesce(F.col("answer"), F.lit("")), QUOTED, "")
     hits = F.size(F.filter("must_not_include", lambda p: (p != "") & F.contains(bare, p)))
     return j.withColumn("hits", hits).groupBy("model", "gtype").agg(F.count("*").alias("runs"), F.count_if(F.col("hits") > 0).alias("leaking"), F.sum("hits").alias("hits"))
 
 
-LEAK = f"""with {RUNS}, {_GOLD}, k as (select model, gtype, len(list_filter(mn, lambda p: p <> '' and contains(regexp_replace(coalesce(answer, ''), '“[^”]*”|"[^"]*"|「[^」]*」|『[^』]*』', '', 'g'), p))) as hits from j)
+LEAK = f"""with {RUNS}, {_GOLD}, k as (select model, gtype, len(list_filter(mn, lambda p: p <> '' and contains(regexp_replace(coalesce(answer, ''), '{QUOTED}', '', 'g'), p))) as hits from j)
 select model, gtype, count(*) as runs, count(case when hits > 0 then 1 end) as leaking, cast(sum(hits) as bigint) as hits from k group by model, gtype"""
 
 
@@ -367,9 +402,9 @@ CATALOGUE = {
     "context_citations": (context_citations, CITATIONS),
     "citation_spans": (citation_spans, SPANS),
     "uncited_sentences": (uncited_sentences, UNCITED),
-    "numeric_facts": (numeric_facts, None),
-    "citation_check": (citation_check, None),
-    "adversarial_detection": (adversarial_detection, None),
+    "numeric_facts": (numeric_facts, FACTS),
+    "citation_check": (citation_check, CHECK),
+    "adversarial_detection": (adversarial_detection, ADVERSARIAL),
     "judge_summary": (judge_summary, JUDGE),
     "failure_attribution": (failure_attribution, ATTRIBUTION),
     "calibration_agreement": (calibration_agreement, CALIBRATION),

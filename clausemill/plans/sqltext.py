@@ -43,3 +43,23 @@ r as (select *, row_number() over (partition by qid order by score desc, id) as
 
 def bm25(idf: str) -> str:
     return "with " + ",\n".join((QUESTIONS, UNITS, INDEX, HITS, ranked_hits(idf)))
+
+
+def facts(text: str) -> str:
+    """List of the distinct "number unit" facts of a text, as ``functions.text.fact_pairs`` gives them. RE2 has no look-ahead: years before 内 and 以 are set aside while dates are masked."""
+    from ..functions.text import FACTS
+
+    t = f"translate(coalesce({text}, ''), 'ⅠⅡⅢⅣⅤ', '12345')"
+    day = "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|(?:[0-9]{4}\\s*年\\s*)?[0-9]{1,2}\\s*月\\s*[0-9]{1,2}\\s*日"
+    t = f"regexp_replace({t}, '([0-9]{{4}}\\s*)年(\\s*[内以])', '\\1' || chr(31) || '\\2', 'g')"
+    t = f"replace(regexp_replace({t}, '{day}|[0-9]{{4}}\\s*年', ' ', 'g'), chr(31), '年')"
+    digit = "case when c = '两' then 2 when c = '〇' then 0 else position(c in '零一二三四五六七八九') - 1 end"
+    unit = "case c when '十' then 10 when '百' then 100 when '千' then 1000 end"
+    numeral = f"""list_reduce(list_filter(string_split(n, ''), lambda c: c <> ''), lambda s, c: case when {unit} is not null then struct_pack(t := s.t + greatest(s.c, 1) * {unit}, c := cast(0 as bigint)) else struct_pack(t := s.t, c := cast({digit} as bigint)) end,
+struct_pack(t := cast(0 as bigint), c := cast(0 as bigint)))"""
+    plain = f"case when regexp_matches(n, '^[0-9]+[.]') then regexp_replace(regexp_replace(n, '0+$', ''), '[.]$', '') when regexp_matches(n, '^[0-9]') then n else cast(({numeral}).t + ({numeral}).c as varchar) end"
+    pairs = f"list_zip(regexp_extract_all({t}, '{FACTS}', 1), regexp_extract_all({t}, '{FACTS}', 2))"
+    as_ = "case u when '天' then '日' when '％' then '%' when '周岁' then '岁' else u end"
+    normed = f"list_transform(list_transform({pairs}, lambda p: struct_pack(n := p[1], u := p[2])), lambda q: list_transform([q], lambda x: struct_pack(n := list_transform([x.n], lambda n: {plain})[1], u := list_transform([x.u], lambda u: {as_})[1]))[1])"
+    kept = f"list_filter({normed}, lambda f: not ((f.n = '1' and f.u = '次') or (f.u = '种' and cast(f.n as double) < 10) or (f.u = '年' and cast(f.n as double) >= 1900)))"
+    return f"list_sort(list_distinct(list_transform({kept}, lambda f: f.n || ' ' || f.u)))"

@@ -44,25 +44,35 @@ def noise_filtered_chunks(spark: SparkSession, d: str) -> DataFrame:
 NOISE = """select source, count(*) as lines, count(case when length(l) >= 20 and len(regexp_extract_all(l, '[一-鿿]')) >= 0.2 * length(l) then 1 end) as kept from (select source, unnest(string_split(text, chr(10))) as l from documents where text is not null) group by source"""
 
 _PL = """u0 as (select *, row_number() over (partition by unit_id order by loaded_at desc) as rn from units where unit_id is not null),
-l as (select unit_id, doc_id, x.page as page, i - 1 as line_no, x.line as line, regexp_replace(x.line, '[0-9一二三四五六七八九十百零〇]+', '#', 'g') as key from (select unit_id, doc_id, unnest(lines) as x, generate_subscripts(lines, 1) as i from u0 where rn = 1) where x.line is not null and x.line <> ''),
-n as (select doc_id, count(distinct page) as pages from l group by doc_id),
-h as (select l.doc_id, key, count(distinct page) as pages from l where length(line) <= 40 and len(regexp_extract_all(line, '[一-鿿]')) >= 2 group by l.doc_id, key),
-hh as (select h.* from h join n on n.doc_id = h.doc_id where h.pages >= greatest(3, floor(n.pages * 0.3)))"""
+l as (select unit_id, doc_id, x.page as page, i - 1 as line_no, x.line as line from (select unit_id, doc_id, unnest(lines) as x, generate_subscripts(lines, 1) as i from u0 where rn = 1) where x.line is not null and x.line <> '')"""
 
+#: share of a source's texts on which a line is boilerplate
+_OFTEN = 0.01
 
-def repeated_line_headers(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.repeated_headers(corpus.page_lines(table(spark, d, "units")))
+
+def _text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Non-blank lines of the documents of each source, a text standing for a page."""
+    t = table(spark, d, "documents").where("text is not null and source is not null").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return t.where("trim(line) <> ''")
 
 
-HEADERS = f"with {_PL} select doc_id, key, pages from hh"
+def repeated_line_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Short lines that stand in many texts of a source, numbers masked."""
+    return corpus.repeated_headers(_text_lines(spark, d), "source", "doc_id", share=_OFTEN)
 
 
 def header_free_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = corpus.page_lines(table(spark, d, "units"))
-    return corpus.without_headers(lines, corpus.repeated_headers(lines)).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"))
+    """Lines and characters that are left of each source without its repeated lines."""
+    lines = _text_lines(spark, d)
+    return corpus.without_headers(lines, corpus.repeated_headers(lines, "source", "doc_id", share=_OFTEN), "source").groupBy("source").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"))
 
 
-HEADER_FREE = f"with {_PL} select doc_id, count(*) as lines, cast(sum(length(line)) as bigint) as chars from l where not exists (select 1 from hh where hh.doc_id = l.doc_id and hh.key = l.key) group by doc_id"
+_TL = f"""l as (select source, doc_id, l as line, regexp_replace(l, '[0-9一二三四五六七八九十百零〇]+', '#', 'g') as key from (select source, doc_id, unnest(string_split(text, chr(10))) as l from documents where text is not null and source is not null) where trim(l) <> ''),
+n as (select source, count(distinct doc_id) as pages from l group by source),
+h as (select source, key, count(distinct doc_id) as pages from l where length(line) <= 40 and len(regexp_extract_all(line, '[一-鿿]')) >= 2 group by source, key),
+hh as (select h.* from h join n on n.source = h.source where h.pages >= greatest(3, floor(n.pages * {_OFTEN})))"""
+HEADERS = f"with {_TL} select source, key, pages from hh"
+HEADER_FREE = f"with {_TL} select source, count(*) as lines, cast(sum(length(line)) as bigint) as chars from l where not exists (select 1 from hh where hh.source = l.source and hh.key = l.key) group by source"
 
 
 def unit_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +115,14 @@ def long_unit_split(spark: SparkSession, d: str) -> DataFrame:
     return u.select("unit_id", F.posexplode(corpus.long_split(F.coalesce(t, F.array().cast("array<string>")))).alias("sub_index", "n_chars"))
 
 
+LONG_SPLIT = """with u0 as (select *, row_number() over (partition by unit_id order by loaded_at desc) as rn from units where unit_id is not null),
+t as (select unit_id, list_filter(list_transform(coalesce(lines, []), lambda x: x.line), lambda t: t is not null and t <> '') as ts from u0 where rn = 1),
+f as (select unit_id, list_reduce(ts, lambda s, t: case when s.size > 0 and (s.size >= 700 or (s.size >= 450 and regexp_matches(t, '^\\s*(?:[（(]?[0-9一二三四五六七八九十]+[)）．.、]|[-•●])')))
+then struct_pack(done := list_append(s.done, s.size), size := cast(length(t) as bigint)) else struct_pack(done := s.done, size := s.size + length(t)) end, struct_pack(done := cast([] as bigint[]), size := cast(0 as bigint))) as s from (select unit_id, ts from t)),
+g as (select unit_id, case when s.size > 0 then list_append(s.done, s.size) else s.done end as p from f)
+select unit_id, cast(generate_subscripts(p, 1) - 1 as bigint) as sub_index, unnest(p) as n_chars from g"""
+
+
 def entity_detection(spark: SparkSession, d: str) -> DataFrame:
     """Model names that each document mentions: words equi-joined with the alias table; the empty set means no filter."""
     alias = table(spark, d, "gen_v3_p2_blind").where("model is not null").select(F.lower("model").alias("word")).distinct()
@@ -157,6 +175,16 @@ def pii_redacted_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.redacted(F.col("text")).alias("text"))
 
 
+def _redact_sql(t: str, pattern: str, mark: str) -> str:
+    """Matches that no digit stands beside; twice, as neighbours share what stands between them."""
+    once = f"regexp_replace({t}, '(^|[^0-9])({pattern})($|[^0-9])', '\\1<{mark}>\\3', 'g')"
+    return f"regexp_replace({once}, '(^|[^0-9])({pattern})($|[^0-9])', '\\1<{mark}>\\3', 'g')"
+
+
+_RED = _redact_sql(_redact_sql(_redact_sql("text", "[0-9]{17}[0-9Xx]", "id_card"), "[0-9]{16,19}", "bank_card"), "1[3-9][0-9]{9}", "mobile")
+REDACTED = f"select doc_id, regexp_replace({_RED}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+', '<email>', 'g') as text from documents"
+
+
 def date_extraction(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", X.dates(F.col("text")).alias("x")).where(F.size("x") > 0)
     return t.select("doc_id", F.size("x").alias("n"), F.array_join("x", ",").alias("dates"))
@@ -170,15 +198,16 @@ select doc_id, len(x) as n, array_to_string(x, ',') as dates from u"""
 
 
 def amount_extraction(spark: SparkSession, d: str) -> DataFrame:
-    """Sums of money per source: how many different ones the documents name, and the largest."""
-    t = table(spark, d, "documents").select("source", F.explode(X.amounts(F.col("text"))).alias("yuan"))
-    return t.groupBy("source").agg(F.count("*").alias("amounts"), F.max("yuan").alias("largest"), F.sum("yuan").alias("total"))
+    """Amounts per source: how many different ones the documents name, and the largest."""
+    t = table(spark, d, "documents").select("source", F.explode(X.amounts(F.col("text"))).alias("amount"))
+    return t.groupBy("source").agg(F.count("*").alias("amounts"), F.max("amount").alias("largest"), F.sum("amount").alias("total"))
 
 
-_SUM = "'([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+(?:\\.[0-9]+)?)\\s*(万)?元'"
+_SUM = "'([0-9][0-9,]*(?:\\.[0-9]+)?)\\s*(万)?'"
 AMOUNTS = f"""with k as (select doc_id, source, regexp_extract_all(text, {_SUM}, 1) as a, regexp_extract_all(text, {_SUM}, 2) as w from documents where text is not null),
-l as (select distinct doc_id, source, yuan from (select doc_id, source, unnest(list_transform(a, lambda v, i: cast(round_even(cast(replace(v, ',', '') as double) * case when w[i] = '万' then 10000 else 1 end, 0) as bigint))) as yuan from k))
-select source, count(*) as amounts, max(yuan) as largest, cast(sum(yuan) as bigint) as total from l group by source"""
+v as (select doc_id, source, unnest(list_transform(a, lambda v, i: cast(replace(v, ',', '') as double) * case when w[i] = '万' then 10000 else 1 end)) as v from k),
+l as (select distinct doc_id, source, cast(round_even(v, 0) as bigint) as amount from v where v < 1e12)
+select source, count(*) as amounts, max(amount) as largest, cast(sum(amount) as bigint) as total from l group by source"""
 
 
 def clause_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -210,10 +239,10 @@ CATALOGUE = {
     "unit_texts": (unit_texts, UNIT_TEXTS),
     "clause_read": (clause_read, CLAUSE),
     "clause_segments": (clause_segments, SEGMENTS),
-    "long_unit_split": (long_unit_split, None),
+    "long_unit_split": (long_unit_split, LONG_SPLIT),
     "entity_detection": (entity_detection, ENTITIES),
     "candidate_format_filter": (candidate_format_filter, FORMAT),
     "stratified_sample": (stratified_sample, SAMPLE),
     "pii_redaction_counts": (pii_redaction_counts, PII),
-    "pii_redacted_text": (pii_redacted_text, None),
+    "pii_redacted_text": (pii_redacted_text, REDACTED),
 }

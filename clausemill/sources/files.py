@@ -94,3 +94,28 @@ def write_report(path: str, body: str, heading: str = "## Conclusion") -> None:
         kept = old[at:] if at >= 0 else ""
     with open(path, "w", encoding="utf-8", newline="\n") as f:
         f.write(body.rstrip("\n") + "\n" + kept)
+
+
+def write_matrix(vectors: DataFrame, path: str, id_col: str = "id", vector_col: str = "vector") -> None:
+    """Vectors by id as Parquet, beside them what they are (rows, dimensions) as one JSON line: ids and vectors can't get out of step."""
+    vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).write.mode("overwrite").parquet(f"{path}/vectors")
+    v = vectors.sparkSession.read.parquet(f"{path}/vectors")
+    v.agg(F.count("*").alias("rows"), F.min(F.size("vector")).alias("least_dim"), F.max(F.size("vector")).alias("most_dim")).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def write_back(rows: DataFrame, decisions: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """``rows`` with the columns of ``decisions`` (key and others; one row per key) as a new version at ``path``; rows without a decision keep what they had, or null. The source isn't touched."""
+    new = [c for c in decisions.columns if c != key]
+    d = decisions.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in new])
+    j = rows.join(d, key, "left")
+    old = {c: F.col(c) if c in rows.columns else F.lit(None) for c in new}
+    j.select(*[c for c in rows.columns if c not in new], *[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(old[c]).alias(c) for c in new]).write.mode("errorifexists").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines at ``path``, or an empty frame of the schema where nothing is there: for the optional side of a left join."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.read.schema(schema).json(path)
+    return spark.createDataFrame([], schema)
