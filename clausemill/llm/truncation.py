@@ -102,8 +102,6 @@ def ends_at(short: str, long: str, least: float) -> int | None:
     return at if best <= most else None
 
 
-#: characters at the end of a text that its copy must have as they are, and how far from the end of the alignment
-TAIL, SLIP = 4, 2
 #: damage at the end of a text that is no part of it
 _DAMAGE = "\ufffd… "
 
@@ -112,11 +110,12 @@ def cut_against(short: str, long: str, least: float) -> bool | None:
     """Does ``short`` end inside a clause of its copy ``long``? False: it ends where a sentence of it does; None: not comparable, or the copy has a mark there that tells nothing."""
     s = short.rstrip(_DAMAGE)
     m, most = len(s), int((1 - least) * len(s) + 1e-9)
-    # what is aligned at the end must be the same there: looked for first, as the alignment can only end in this window
-    if not s or long.find(s[-TAIL:], max(0, m - most - SLIP - TAIL), m + most + SLIP) < 0:
+    # what is aligned at the end must be the same there, and of what is before at least one piece: looked for first, as the alignment can only end in this window
+    window = long[max(0, m - most - 12) : m + most + 2]
+    if s[-2:] not in window or (m >= 8 and s[-5:-2] not in window and s[-8:-5] not in window):
         return None
     at = ends_at(s, long, least)
-    if at is None or at >= len(long) or s[-TAIL:] not in long[max(0, at - SLIP - TAIL) : at + SLIP]:
+    if at is None or at >= len(long) or s[-2:] not in long[max(0, at - 4) : at + 2]:
         return None
     here, before = long[at], long[at - 1]
     if here in "。！？!?；;\n" or before in "。！？!?；;\n":
