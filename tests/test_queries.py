@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from clausemill.plans import catalogue
+from clausemill.plans import catalogue, retrieval
 
 Q, SQL = catalogue.queries(), catalogue.oracle_sql()
 
@@ -57,14 +57,16 @@ def test_empty_tables(spark, empty, name):
     assert Q[name](spark, empty).count() == 0
 
 
-def test_greedy_dedup_judges_every_vector(spark, sf):
+@pytest.mark.parametrize("least", [0.3, 0.9])
+def test_greedy_dedup_judges_every_vector(spark, sf, least):
+    """By brute force, at the threshold of the query and at one that many vectors of the tables reach."""
     rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id is not null and embedding is not null").collect())
     v = np.array([e for _, e in rows], dtype=float)
     kept, want = [], {}
     for i, (vec_id, _) in enumerate(rows):
-        want[vec_id] = not kept or bool((np.round(v[kept] @ v[i], 6) < 0.3).all())
+        want[vec_id] = not kept or bool((np.round(v[kept] @ v[i], 6) < least).all())
         if want[vec_id]:
             kept.append(i)
-    got = Q["greedy_dedup"](spark, sf).collect()
+    got = retrieval.greedy_dedup(spark, sf, least).collect()
     assert {r["id"]: r["kept"] for r in got} == want and len(got) == len(want)
-    assert False in want.values() and True in want.values()
+    assert least > 0.3 or (False in want.values() and True in want.values())
