@@ -51,7 +51,7 @@ def fingerprints(text: str, how: Winnow) -> tuple[np.ndarray, np.ndarray]:
     """Seeds of a text and where they begin; a short text has finer ones too."""
     a = codes(text).astype(np.uint64)
     h, at = winnowed(a, how.k, how.w)
-    if len(a) > how.short:
+    if len(a) > how.short or len(a) <= how.fine_k:
         return h, at
     fine, fine_at = winnowed(a, how.fine_k, how.fine_w)
     return np.concatenate([h, fine]), np.concatenate([at, fine_at])
