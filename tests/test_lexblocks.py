@@ -75,7 +75,8 @@ def test_ranks_and_pairs(spark, made):
 @pytest.mark.parametrize(
     "name",
     [
-        "bm25_topk", "acl_prefilter_search", "bm25_explain", "bm25_okapi_topk", "context_budget", "guide_slot_share", "neighbor_expansion", "retrieval_metrics", "top_score_profile", "context_blocks", "decomposed_retrieval", "evidence_completeness", "question_ranks", "retrieval_metrics_by_type",
+        "acl_prefilter_search", "bm25_explain", "bm25_okapi_topk", "context_budget", "guide_slot_share", "neighbor_expansion", "retrieval_metrics", "top_score_profile", "bm25_topk", "context_blocks",
+        "decomposed_retrieval", "evidence_completeness", "question_ranks", "retrieval_metrics_by_type", "seed_quota",
     ],
 )
 def test_no_row_a_pair_is_written(spark, sf, monkeypatch, name):
