@@ -76,17 +76,23 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     some = False
     for pdf in batches:
         # the end of a text is what is in question and counts neither way, but where the context reaches back to its start and so knows all of it
+        some_text = [bool(t) for t in pdf["text"]]
         texts = [u if _known_whole(u) else u + _OPEN for u in (shape(unwrap(t)[0]) for t in pdf["text"] if t)]
+        rows = pdf["rows"].to_numpy()[some_text] if "rows" in pdf else None
         for at in range(0, len(texts), 4000):
             a = _codes(texts[at : at + 4000])
             some = True
+            times = None
+            if rows is not None and rows[at : at + 4000].max() > 1:  # each character, and the mark behind its text, as often as the text
+                times = np.repeat(rows[at : at + 4000], [len(t) + 1 + max(ORDERS) for t in texts[at : at + 4000]]).astype(np.float64)
             for n, bits in ORDERS.items():
                 h = _hash(a[:-1], n, bits)
                 here, after = a[n - 1 : -1], a[n:]
                 real = (here > 4) & (after != 4)
                 ends = real & np.isin(after, _ENDS)
-                tables[n][0] += np.bincount(h[real], minlength=1 << bits)
-                tables[n][1] += np.bincount(h[ends], minlength=1 << bits)
+                weight = (None, None) if times is None else (times[n - 1 : -1][real], times[n - 1 : -1][ends])
+                tables[n][0] += np.bincount(h[real], weight[0], 1 << bits).astype(np.int64)
+                tables[n][1] += np.bincount(h[ends], weight[1], 1 << bits).astype(np.int64)
     if not some:
         return
     for n, t in tables.items():
@@ -106,12 +112,12 @@ def _merge(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(texts: DataFrame) -> dict[int, np.ndarray]:
-    """Count all values of the column ``text``. Each task sends its tables in chunks that are added up by chunk.
+    """Count all values of the column ``text``, each as often as ``rows`` says if there is that column. Each task sends its tables in chunks that are added up by chunk.
 
     Only the fixed-size tables (28 MB) reach the driver; the load of table n, its median cell, is put under -n. Nulls and empty texts are skipped; an empty frame gives
     tables of zeros.
     """
-    parts = texts.select("text").mapInPandas(_count, "n int, chunk int, counts binary")
+    parts = texts.select("text", *["rows"] * ("rows" in texts.columns)).mapInPandas(_count, "n int, chunk int, counts binary")
     merged = parts.groupBy("n", "chunk").applyInPandas(_merge, "n int, chunk int, counts binary")
     model = {n: np.zeros((2, 1 << b), dtype=np.int64) for n, b in ORDERS.items()}
     for r in merged.toLocalIterator():

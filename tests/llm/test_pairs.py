@@ -182,3 +182,36 @@ def test_contexts_over_a_full_table():
     full = model | {-n: np.array([40.0, 0.0]) for n in (8, 5, 3)}
     text = "合同自次日零时起中止期间"
     assert endmodel.end_shares(model, [text], [0])[0] == 0.0 and endmodel.end_shares(full, [text], [0])[0] == 0.5
+
+
+def test_all_pairs_of_a_family_at_once():
+    """As pair by pair: edits, damage at the end, ends of sentences, texts with nothing in common."""
+    rng = random.Random(3)
+    base = "".join(rng.choice("保险合同给付等待期重大疾病现金价值。，") for _ in range(120))
+    vary = lambda n: "".join(rng.choice("保险𠮷期") if rng.random() < 0.04 else c for c in base[:n])
+    longs = [vary(rng.randint(40, 120)) for _ in range(60)] + ["".join(chr(rng.randint(0x5000, 0x5FFF)) for _ in range(90))]
+    shorts = [vary(rng.randint(28, 75)) + rng.choice(["", "", "\ufffd…"]) for _ in range(40)] + ["保险…", longs[0]]
+    want = []
+    for s in shorts:
+        said = [truncation.cut_against(s, t, 0.8) for t in longs if len(t) > len(s)]
+        want.append(True if True in said else False if False in said else None)
+    assert truncation.against_all(shorts, longs, 0.8) == want and {True, False, None} <= set(want)
+    x, y = zip(*[(s, t) for s in shorts[:-2] for t in longs], strict=True)
+    assert truncation.ends_at_all(list(x), list(y), 0.8) == [truncation.ends_at(s, t, 0.8) for s, t in zip(x, y, strict=True)]
+
+
+def test_a_repeated_text_is_judged_once(spark, monkeypatch):
+    """All its rows count for the endings and are found, but one row of it is fitted and compared; of longer copies only what can matter is sent on."""
+    whole = "。".join(SENTENCES) + "，年龄误报导致少交保险费的按比例折算，领取人身故的作为遗产处理由继承人申请。"
+    texts = [whole, whole[:-7], *corpus(40)] + [whole[:80] + x * 300 + "。" for x in "甲乙丙"]
+    rows = [(f"{k}-{i}", t) for i, t in enumerate(texts) for k in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "id string, answer string")
+    fitted, faced = [], []
+    fit, facing = endmodel.fit, truncation.facing
+    monkeypatch.setattr(endmodel, "fit", lambda t: fitted.append((t.count(), len(set(texts)), fit(t), fit(df.selectExpr("answer as text")))) or fitted[-1][2])
+    monkeypatch.setattr(truncation, "facing", lambda x, y, *a: faced.append([r["norm"] for r in y.collect()]) or facing(x, y, *a))
+    got = {r["id"] for r in truncation.truncated(df).collect()}
+    assert {"0-1", "1-1"} <= got and all((f"0-{i}" in got) == (f"{k}-{i}" in got) for i in range(len(texts)) for k in range(1 + i % 3))
+    (n, distinct, model, plain), = fitted
+    assert n == distinct and all((model[k] == plain[k]).all() for k in plain)
+    assert faced[0] and max(map(len, faced[0])) < 300
