@@ -299,7 +299,7 @@ def _open(how: Prefixes):
 
 
 #: bits of the table of wanted keys
-_WANTED = 26
+_WANTED = 24
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -307,7 +307,7 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 def _table(keys: DataFrame) -> np.ndarray:
-    """Bits that are set for every key of ``keys`` and some others: of a fixed size (8 MB), whatever the number of keys."""
+    """Bits that are set for every key of ``keys`` and some others: of a fixed size (2 MB), whatever the number of keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
